@@ -124,7 +124,7 @@ def shingles(word: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray,
     for r in np.flatnonzero((counts > 0) & (counts < k)):
         x = U(0)
         for w in word[at[r] : at[r] + counts[r]]:
-            x = mix(np.array([x * U(_P) + w + U(1)], U))[0]
+            x = mix(np.array([x], U) * U(_P) + w + U(1))[0]
         h[(np.cumsum(n) - n)[r]] = x
     return h, n
 
