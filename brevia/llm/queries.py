@@ -51,10 +51,32 @@ FROM documents d JOIN c ON c.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack
+
+    return pack(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, tokens=2048)
+
+
+def op4_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    import public_tokenizers
+
+    from . import common, rans
+
+    out = f"{common.shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    rans.write_files(_docs(spark, sf_dir), out, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return rans.read_files(spark, out)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op4_rans_token_files": op4_rans_token_files,
         "op9_minhash_dedup": op9_minhash_dedup,
+        "op10_best_fit_packing": op10_best_fit_packing,
     }
 
 
