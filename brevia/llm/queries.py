@@ -71,14 +71,64 @@ def op4_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.read_files(spark, out)
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import secret_report
+
+    return secret_report(_docs(spark, sf_dir))
+
+
+def _op5_sql() -> str:
+    from .secret_scan import ACCESS, ALLOW, ASSIGN, CANDIDATE, CLASSES, HEX, KINDS, WINDOW
+
+    def quoted(p: str) -> str:
+        return "'" + p.replace("'", "''") + "'"
+
+    def matches(p: str, second: int = 0) -> str:
+        # RE2 counts groups as Java does; a split by the pattern gives the gaps
+        return f"unnest(list_zip(regexp_extract_all(t, {quoted(p)}), regexp_split_to_array(t, {quoted(p)}), regexp_extract_all(t, {quoted(p)}, {second}))) AS m"
+
+    def placed(kind: int, p: str, second: int, keep: str) -> str:
+        return f"""
+        SELECT doc_id, {kind} AS kind, at AS start, at + length(hit) AS stop, hit FROM (
+          SELECT doc_id, i, hit, second, (sum(length(gap)) OVER (PARTITION BY doc_id ORDER BY i) + sum(length(hit)) OVER (PARTITION BY doc_id ORDER BY i) - length(hit))::bigint AS at
+          FROM (SELECT doc_id, i, m[1] AS hit, m[2] AS gap, m[3] AS second FROM (
+            SELECT doc_id, {matches(p, second)}, generate_subscripts(regexp_split_to_array(t, {quoted(p)}), 1) AS i FROM d) WHERE m[1] IS NOT NULL))
+        WHERE {keep}"""
+
+    names = "[" + ", ".join(f"'{k}'" for k in KINDS) + "]"
+    least = "CASE " + " ".join(f"WHEN regexp_matches(hit, {quoted(p)}) THEN {h}" for _, p, h in CLASSES) + " END"
+    best = f"list_max(list_transform(range(1, length(hit) - {WINDOW} + 2), lambda i: list_aggregate(string_split(substring(hit, i, {WINDOW}), ''), 'entropy')))"
+    return f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    base AS ({placed(0, ASSIGN, 2, "length(second) >= 12")} UNION ALL {placed(1, ACCESS, 0, "length(hit) >= 18")} UNION ALL {placed(2, HEX, 0, "true")}),
+    cand AS ({placed(3, CANDIDATE, 0, f"NOT regexp_matches(hit, {quoted(ALLOW)})")}),
+    added AS (SELECT * FROM cand c WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = c.doc_id AND b.start < c.stop AND c.start < b.stop) AND {best} >= {least} - 1e-9),
+    b AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2,
+      string_agg({names}[kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind, stop) AS j FROM base GROUP BY 1),
+    a AS (SELECT doc_id, string_agg({names}[kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind, stop) AS j FROM (FROM base UNION ALL FROM added) GROUP BY 1)
+    SELECT d.doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(b.j, '')) AS base_sha256, coalesce(a.j, '') AS spans
+    FROM d LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN a ON a.doc_id = d.doc_id
+    """
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_counts import token_counts
+
+    return token_counts(_docs(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), 4096)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op4_rans_token_files": op4_rans_token_files,
+        "op5_secret_scan": op5_secret_scan,
+        "op6_token_counts": op6_token_counts,
         "op9_minhash_dedup": op9_minhash_dedup,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op9_minhash_dedup": OP9_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op5_secret_scan": _op5_sql(), "op9_minhash_dedup": OP9_SQL}
