@@ -89,8 +89,8 @@ def _op5_sql() -> str:
 
     def placed(kind: int, p: str, second: int, keep: str) -> str:
         return f"""
-        SELECT doc_id, {kind} AS kind, at AS start, at + length(hit) AS stop, hit FROM (
-          SELECT doc_id, i, hit, second, (sum(length(gap)) OVER (PARTITION BY doc_id ORDER BY i) + sum(length(hit)) OVER (PARTITION BY doc_id ORDER BY i) - length(hit))::bigint AS at
+        SELECT doc_id, {kind} AS kind, pos AS start, pos + length(hit) AS stop, hit FROM (
+          SELECT doc_id, i, hit, second, (sum(length(gap)) OVER (PARTITION BY doc_id ORDER BY i) + sum(length(hit)) OVER (PARTITION BY doc_id ORDER BY i) - length(hit))::bigint AS pos
           FROM (SELECT doc_id, i, m[1] AS hit, m[2] AS gap, m[3] AS second FROM (
             SELECT doc_id, {matches(p, second)}, generate_subscripts(regexp_split_to_array(t, {quoted(p)}), 1) AS i FROM d) WHERE m[1] IS NOT NULL))
         WHERE {keep}"""
