@@ -119,12 +119,19 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_docs(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), 4096)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import language_report
+
+    return language_report(_docs(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op4_rans_token_files": op4_rans_token_files,
         "op5_secret_scan": op5_secret_scan,
         "op6_token_counts": op6_token_counts,
+        "op8_language_id": op8_language_id,
         "op9_minhash_dedup": op9_minhash_dedup,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
