@@ -125,12 +125,26 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(_docs(spark, sf_dir))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    return contaminated(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import repeated_passages
+
+    return repeated_passages(_docs(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_decontaminate": op2_decontaminate,
         "op4_rans_token_files": op4_rans_token_files,
         "op5_secret_scan": op5_secret_scan,
         "op6_token_counts": op6_token_counts,
+        "op7_substring_dedup": op7_substring_dedup,
         "op8_language_id": op8_language_id,
         "op9_minhash_dedup": op9_minhash_dedup,
         "op10_best_fit_packing": op10_best_fit_packing,
