@@ -137,10 +137,17 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_docs(spark, sf_dir))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_decontaminate": op2_decontaminate,
+        "op3_html_text": op3_html_text,
         "op4_rans_token_files": op4_rans_token_files,
         "op5_secret_scan": op5_secret_scan,
         "op6_token_counts": op6_token_counts,
