@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .language_id import folded
 from .textkernel import HashIndex, U, hashes, segments, shingles, slices, text_buffers
 
@@ -146,3 +147,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float
         found = base.mapInArrow(_match(Items([r.item_id for r in rows], [r.text for r in rows], k), k, least), OUT)
         out = found if out is None else out.union(found)
     return out
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the documents that hold a benchmark item; rows without an id stay."""
+    gone = common.written(contaminated(docs, benchmark, k, least, id_col, text_col).select(F.col("doc_id").alias(id_col)).distinct(), "leaks")
+    return common.keyed_filter(docs, gone, id_col, "left_anti").select(docs.columns)

@@ -155,6 +155,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Of equal texts the row with the most code points in the original text stays, then the smallest id.
     """
+    tagged, decided = _decide(docs, id_col, text_col)
+    return tagged.join(decided, "rep").select("row", "uid", "root", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), "sha")
+
+
+def _decide(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """All rows with uid and representative, and the decision on each representative's group."""
     spark = docs.sparkSession
     rows = docs.select(F.struct("*").alias("row"))
     schema = T.StructType([*rows.schema.fields, *(T.StructField(c, k) for c, k in (("uid", T.LongType()), ("rep", T.LongType()), ("n_cp", T.LongType()), ("sha", T.BinaryType()), ("path", T.BinaryType())))])
@@ -182,7 +188,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     by_rep = tagged.select("uid", "rep", "n_cp", F.col(f"row.`{id_col}`").alias("id")).groupBy("rep").agg(best, F.count("*").alias("size"))
     by_root = by_rep.join(roots, "rep").groupBy("root").agg(F.max("best").alias("best"), F.sum("size").alias("size"))
     decided = roots.join(by_root, "root").select("rep", "root", (-F.col("best.neg")).alias("keep_id"), (-F.col("best.u")).alias("keep_uid"), F.col("size").alias("group_size"))
-    return tagged.join(decided, "rep").select("row", "uid", "root", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), "sha")
+    return tagged, decided
 
 
 def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -194,6 +200,6 @@ def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with the columns of docs."""
-    found = exact_dedup(docs, id_col, text_col)
-    kept = found.where("kept").select("row.*")
-    return kept
+    tagged, decided = _decide(docs, id_col, text_col)
+    gone = common.written(tagged.select("uid", "rep").join(decided.select("rep", "keep_uid"), "rep").where("uid <> keep_uid").select("uid"), "gone")
+    return common.keyed_filter(tagged, gone, "uid", "left_anti").select("row.*")

@@ -239,3 +239,21 @@ def language_report(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document."""
     found = predict(docs, fit(training_rows(docs)))
     return found.select("doc_id", F.expr("coalesce(crc32(CAST(doc_id AS string)) % 4 = 2, false)").alias("held_out"), "lang_pred", "score")
+
+
+def _identified(model: Model | None, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep: list[bool] = []
+            data, off = text_buffers(batch.column(at))
+            for _, _, b, o in slices(data, off):
+                keep += [False] * (len(o) - 1) if model is None else (label_rows(model, b, o)[0] >= 0).tolist()
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows, with all their columns, whose language is not ``und``; learned from the labelled rows among them."""
+    model = fit(training_rows(docs, id_col, text_col, lang_col))
+    return docs.mapInArrow(_identified(model, docs.columns.index(text_col)), docs.schema)

@@ -221,3 +221,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         sig.select("id", "n").join(group, "id", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
         .withColumn("kept", F.col("doc_id") == F.col("component_id"))
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """docs without the documents that are near copies of one with a smaller id; rows without an id stay."""
+    gone = common.written(near_groups(docs, id_col, text_col, k, percent).where("NOT kept").select(F.col("doc_id").alias(id_col)), "gone")
+    return common.keyed_filter(docs, gone, id_col, "left_anti").select(docs.columns)
