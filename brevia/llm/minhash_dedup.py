@@ -27,8 +27,8 @@ from . import common
 from .textkernel import U, lowered_words, mix, seeds, shingles, slices, text_buffers
 
 ROWS, BANDS = 2, 8
-#: Members of a block in the exact comparison of unsettled groups.
-BLOCK = 1024
+#: Shingles of a block in the exact comparison of unsettled groups, and of the sets looked up at once.
+BLOCK, CHUNK = 400_000, 1_000_000
 _SEEDS = seeds(2 * ROWS * BANDS, 3)
 _ODD = U(0x9E3779B97F4A7C15)
 
@@ -128,53 +128,39 @@ def _verify(percent: int):
     return run
 
 
-def _incidence(sets: list[np.ndarray]) -> np.ndarray:
-    """Rows by shingles that occur in two sets or more, as 0/1 floats; the others can't be in an intersection."""
-    h = np.concatenate(sets)
-    value, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
-    col = np.cumsum(count > 1) - 1
-    keep = count[inverse] > 1
-    m = np.zeros((len(sets), max(1, int((count > 1).sum()))), np.float32)
-    m[np.repeat(np.arange(len(sets)), [len(s) for s in sets])[keep], col[inverse[keep]]] = 1
-    return m
-
-
 def spanning_links(ids: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links that join the components of rows ``left`` and ``right`` (indexes) wherever any pair of them is similar."""
     size = np.array([len(s) for s in sets], np.int64)
-    root = {int(c): int(c) for c in comp}
-
-    def find(c: int) -> int:
-        while root[c] != c:
-            root[c] = root[root[c]]
-            c = root[c]
-        return c
-
+    names, root = np.unique(comp, return_inverse=True)
     links = []
-    step = 64
-    for lo in range(0, len(left), step):
-        rows = left[lo : lo + step]
-        part = [sets[i] for i in rows]
-        m = _incidence(part + [sets[j] for j in right])
-        inter = np.rint(m[: len(rows)] @ m[len(rows) :].T).astype(np.int64)
-        hit = similar(inter, size[rows][:, None], size[right][None, :], percent) & (comp[rows][:, None] != comp[right][None, :])
-        for i, j in zip(*np.nonzero(hit)):
-            a, b = find(int(comp[rows[i]])), find(int(comp[right[j]]))
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                links.append((int(ids[rows[i]]), int(ids[right[j]])))
+    for i in left.tolist():
+        n = size[i]
+        apart = right[(root[right] != root[i]) & similar(np.minimum(size[right], n), size[right], n, percent)]
+        lo = 0
+        while lo < len(apart):
+            hi = lo + max(1, int(np.searchsorted(np.cumsum(size[apart[lo:]]), CHUNK, "right")))
+            part = apart[lo:hi]
+            lo = hi
+            h = np.concatenate([sets[j] for j in part])
+            hit = sets[i][np.minimum(np.searchsorted(sets[i], h), n - 1)] == h
+            inter = np.add.reduceat(hit.astype(np.int64), np.cumsum(size[part]) - size[part])
+            for j in part[similar(inter, n, size[part], percent)].tolist():
+                if root[i] != root[j]:
+                    root[root == root[j]] = root[i]
+                    links.append((int(ids[i]), int(ids[j])))
+            apart = np.concatenate([apart[:lo], apart[lo:][root[apart[lo:]] != root[i]]])
     return links
 
 
 def _settle(percent: int):
-    """One (group, block): its own members and the visitors from small components, compared exactly."""
+    """One block of visitors (members outside the main component) against one block of members, compared exactly."""
 
     def run(table: pa.Table) -> pa.Table:
         t = table.combine_chunks()
         ids, comp = t["id"].to_numpy(), t["comp"].to_numpy()
         sets = [np.frombuffer(x, U) for x in t["set"].to_pylist()]
         guest = t["guest"].to_numpy(zero_copy_only=False).astype(bool)
-        links = spanning_links(ids, comp, sets, np.flatnonzero(guest), np.arange(len(ids)), percent)
+        links = spanning_links(ids, comp, sets, np.flatnonzero(guest), np.flatnonzero(~guest), percent)
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     return run
@@ -208,13 +194,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not open_rows.isEmpty():
         groups = common.components(open_rows.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")))
         members = common.written(open_rows.select("id", "comp").distinct().join(groups.withColumnRenamed("label", "grp"), "id"), "members")
-        # of each group, all but its largest component visit every block of it
-        largest = members.groupBy("grp", "comp").count().groupBy("grp").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.sum("count").alias("size"))
-        rows = members.join(largest, "grp").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-        own = rows.select("grp", F.expr("pmod(xxhash64(id), blocks)").cast("int").alias("block"), "id", "comp", (F.col("comp") != F.col("main")).alias("guest"))
-        visit = rows.where("comp <> main AND blocks > 1").select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "comp", F.lit(True).alias("guest"))
-        blocks = own.union(visit).distinct().join(sets, "id")
-        extra = blocks.groupBy("grp", "block").applyInArrow(_settle(percent), "a long, b long")
+        # of each group, all outside its largest component are held against all members, block by block
+        members = common.written(members.join(sig.select("id", "n"), "id"), "sized")
+        count = members.groupBy("grp", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+        largest = count.groupBy("grp").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max_by("n", F.struct("m", "comp"))).alias("rest"))
+        rows = members.join(largest, "grp").withColumn("nb", F.ceil(F.col("all") / BLOCK).cast("int")).withColumn("ng", F.greatest(F.lit(1), F.ceil(F.col("rest") / BLOCK).cast("int")))
+        own = rows.select("grp", F.expr("explode(sequence(0, ng - 1)) AS g"), F.expr("CAST(pmod(xxhash64(id), nb) AS int) AS block"), "id", "comp", F.lit(False).alias("guest"))
+        visit = rows.where("comp <> main").select("grp", F.expr("CAST(pmod(xxhash64(id, 1), ng) AS int) AS g"), F.expr("explode(sequence(0, nb - 1)) AS block"), "id", "comp", F.lit(True).alias("guest"))
+        blocks = own.union(visit).join(sets, "id")
+        extra = blocks.groupBy("grp", "g", "block").applyInArrow(_settle(percent), "a long, b long")
         label = common.components(links.union(extra))
     group = member.join(label.withColumnRenamed("id", "cls"), "cls", "left").select("id", F.coalesce("label", "cls").alias("component_id"))
     return (
