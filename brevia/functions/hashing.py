@@ -7,6 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Payload keys use SHA-256 here; another function may be registered under a name.
 KEY_FUNCTIONS = {"sha256": lambda data: hashlib.sha256(data).hexdigest()[:24], "blake2b": lambda data: hashlib.blake2b(data).hexdigest()[:24], "md5": lambda data: hashlib.md5(data).hexdigest()[:24]}
@@ -40,7 +41,7 @@ def simhash(text: Column) -> Column:
     return F.aggregate(bits, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def simhash_long(text: pd.Series) -> pd.Series:
     """The same fingerprint for long texts, by Arrow batches."""
     from . import sizing
@@ -52,7 +53,7 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fnv1a64(text: pd.Series) -> pd.Series:
     def one(t: str) -> str:
         h = 0xCBF29CE484222325

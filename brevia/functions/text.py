@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,21 @@ def count_lines(lines: Column, pattern: str) -> Column:
     return F.size(F.filter(lines, lambda x: x.rlike(pattern)))
 
 
+def matcher(pattern: str) -> Callable[[Column], Column]:
+    """A function of one column for higher-order functions, which count the arguments of what they get."""
+    return lambda x: x.rlike(pattern)
+
+
+def holds_any(parts: tuple[str, ...]) -> Callable[[Column], Column]:
+    def test(x: Column) -> Column:
+        out = F.lit(False)
+        for p in parts:
+            out = out | x.contains(p)
+        return out
+
+    return test
+
+
 def is_blank(text: Column) -> Column:
     return text.rlike(r"^[ \t\r\n\x0b\x0c]*$")
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import patterns as P
 from ..functions import text as X
@@ -69,7 +70,7 @@ def code_best(text: Column) -> Column:
     lines = _filled(text, 100)
     rows = []
     for i, (name, p) in enumerate(P.LANGUAGES.items()):
-        hit = F.transform(lines, lambda x, p=p: x.rlike(p))
+        hit = F.transform(lines, X.matcher(p))
         rows.append(F.struct(F.size(F.filter(hit, lambda h: h)).alias("score"), (-F.array_position(hit, F.lit(True))).alias("first"), F.lit(-i).alias("rank"), F.lit(name).alias("language")))
     return F.array_max(F.array(*rows))
 
@@ -80,7 +81,7 @@ def code_confidence(text: Column) -> Column:
     return F.when(best >= 3, F.least(F.lit(0.4) + ratio * 0.4 + best * 0.02, F.lit(1.0)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def tolerant_json(text: pd.Series) -> pd.Series:
     """Confidence of a bracket scan; null where the text is null or no balanced array."""
     return text.map(lambda t: None if t is None else scan_array(t), na_action="ignore").astype("float64")

@@ -27,13 +27,7 @@ def log_format(text: Column) -> Column:
     head = X.first_lines(text, 100)
     rows = []
     for i, (name, marks) in enumerate(P.FORMATS.items()):
-        def hit(x: Column, marks: tuple[str, ...] = marks) -> Column:
-            out = F.lit(False)
-            for m in marks:
-                out = out | x.contains(m)
-            return out
-
-        rows.append(F.struct(F.size(F.filter(head, hit)).alias("n"), F.lit(-i).alias("rank"), F.lit(name).alias("name")))
+        rows.append(F.struct(F.size(F.filter(head, X.holds_any(marks))).alias("n"), F.lit(-i).alias("rank"), F.lit(name).alias("name")))
     best = F.array_max(F.array(*rows))
     return F.when(best["n"] > 0, best["name"]).otherwise("generic")
 
@@ -61,9 +55,9 @@ def context(rows: DataFrame, chosen: Column, around: int, key: str = "doc_id") -
 
 def islands(rows: DataFrame, flag: str, key: str = "doc_id") -> DataFrame:
     """(key, island, first_line, last_line, n) of the runs of consecutive flagged lines."""
-    w = Window.partitionBy(key).orderBy("line_no")
-    run = F.col("line_no") - F.row_number().over(w)
-    return rows.where(F.col(flag)).withColumn("_run", run).groupBy(key, "_run").agg(F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), F.count("*").alias("n")).withColumn(
+    flagged = rows.where(F.col(flag))
+    run = F.col("line_no") - F.row_number().over(Window.partitionBy(key).orderBy("line_no"))
+    return flagged.withColumn("_run", run).groupBy(key, "_run").agg(F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), F.count("*").alias("n")).withColumn(
         "island", F.row_number().over(Window.partitionBy(key).orderBy("first_line"))
     ).drop("_run")
 

@@ -18,7 +18,7 @@ CACHE_WRITE, CACHE_READ, BREAK_EVEN = 1.25, 0.1, 11.5
 def header(headers: Column, name: str) -> Column:
     """A header whatever the case of its name; empty where it is missing."""
     found = F.map_filter(headers, lambda k, v: F.lower(k) == name.lower())
-    return F.coalesce(F.element_at(F.map_values(found), 1), F.lit(""))
+    return F.coalesce(F.try_element_at(F.map_values(found), F.lit(1)), F.lit(""))
 
 
 def auth_mode(headers: Column) -> Column:
