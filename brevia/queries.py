@@ -132,7 +132,7 @@ b AS (SELECT event_id, bit, CASE WHEN 2 * sum((h >> bit) & 1) > any_value(n) THE
 SELECT event_id, sum(CASE WHEN v = 1 AND bit < 63 THEN 1::hugeint << bit::int WHEN v = 1 THEN -9223372036854775808::hugeint ELSE 0 END)::bigint AS fingerprint FROM b GROUP BY 1""")
 def simhash_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.concat_ws(":", F.col("user_id").cast("string"), F.col("event_id").cast("string"), "event_type")
-    return table(spark, sf_dir, "events").select("event_id", H.simhash(t).alias("fingerprint"))
+    return table(spark, sf_dir, "events").select("event_id", H.simhash_long(t).alias("fingerprint"))
 
 
 @query("SELECT doc_id, ceil(length(text) / 4.0)::bigint AS tokens_4, ceil(length(text) / 3.5)::bigint AS tokens_35 FROM documents WHERE text IS NOT NULL")
