@@ -89,7 +89,7 @@ def _braces(text: str) -> tuple[str, int]:
             head = m.end()
         elif c == "{":
             lead = text[head : m.start()]
-            is_function = "(" in lead and bool(_FUNCTION.search(lead)) and not _TYPE.search(lead.split("(")[0])
+            is_function = "(" in lead and bool(_FUNCTION.search(lead)) and not _TYPE.search(lead.split("(")[0].rsplit("\n", 1)[-1])
             stack.append((m.start(), is_function))
             head = m.end()
         elif c == "}":
