@@ -222,8 +222,10 @@ def manifest(requests: DataFrame, store: bool = False) -> DataFrame:
     return done.unionByName(other)
 
 
-@F.udf(T.StringType())
+@F.udf(returnType=T.StringType(), useArrow=True)
 def _spliced(body: str, changes: list) -> str:
+    if not changes:
+        return body
     doc = json.loads(body)
     for c in changes:
         at = doc
