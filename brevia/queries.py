@@ -16,7 +16,9 @@ from .functions import importance as I
 from .functions import patterns as P
 from .functions import text as X
 from .functions import tokens as T
-from .operators import detect, items, lines, policy, relevance
+from .operators import compress, detect, items, lines, policy, relevance
+from .plans import livezone, pipeline
+from .sources import requests as R
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -257,11 +259,11 @@ _CELLS_SQL = "cells AS (" + " UNION ALL ".join(
 ) + ")"
 
 
-@query(f"WITH {_CELLS_SQL}, n AS (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1) SELECT c.l_suppkey, name, any_value(n) AS n, count(DISTINCT value) AS n_unique, round(count(DISTINCT value) / any_value(n), 6) AS unique_ratio, min(number) AS low, max(number) AS high, round(avg(number), 4) AS mean, round(CASE WHEN any_value(name) IN ('l_quantity', 'l_discount', 'l_tax') THEN coalesce(var_samp(number), 0.0) END, 4) AS variance FROM cells c JOIN n ON n.l_suppkey = c.l_suppkey GROUP BY 1, 2")
+@query(f"WITH {_CELLS_SQL}, n AS (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1) SELECT c.l_suppkey, name, any_value(n) AS n, count(DISTINCT value) AS n_unique, round(count(DISTINCT value) / any_value(n), 6) AS unique_ratio, min(number) AS low, max(number) AS high, round(avg(number) + 1e-9, 4) AS mean, round(CASE WHEN any_value(name) IN ('l_quantity', 'l_discount', 'l_tax') THEN coalesce(var_samp(number), 0.0) END + 1e-9, 4) AS variance FROM cells c JOIN n ON n.l_suppkey = c.l_suppkey GROUP BY 1, 2")
 def field_profile_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"))
     p = items.profile(line_cells(spark, sf_dir), sizes, "l_suppkey")
-    return p.select("l_suppkey", "name", "n", "n_unique", F.round("unique_ratio", 6).alias("unique_ratio"), "low", "high", F.round("mean", 4).alias("mean"), F.round("variance", 4).alias("variance"))
+    return p.select("l_suppkey", "name", "n", "n_unique", F.round("unique_ratio", 6).alias("unique_ratio"), "low", "high", F.round(F.col("mean") + 1e-9, 4).alias("mean"), F.round(F.col("variance") + 1e-9, 4).alias("variance"))
 
 
 @query("""WITH k AS (SELECT event_type, json_extract(props, '$.k')::double AS number, event_id FROM events)
@@ -460,3 +462,174 @@ def auth_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def policy_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, s = F.col("o_custkey").cast("double"), (F.col("o_orderkey") % 500).cast("double")
     return table(spark, sf_dir, "orders").select("o_orderkey", F.round(policy.mutation_gain(d, s, (F.col("o_orderkey") % 7).cast("double"), F.lit(0.5)), 6).alias("gain"), F.round(F.coalesce(policy.break_even_reads(d, s), F.lit(0.0)), 6).alias("break_even"))
+
+
+# block compressors: sequential kernels have no SQL; a lossless or countable property of their result is compared instead
+
+
+@query()
+def log_compress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's log, shortened."""
+    return event_blocks(spark, sf_dir).withColumn("r", compress.logs(F.col("text"))).select("user_id", "r.compressed", "r.lines_in", "r.lines_out", "r.format", "r.errors", "r.warnings", "r.info")
+
+
+@query(f"WITH {EVENT_SQL} SELECT user_id, count(*)::int AS lines_in, count(*) FILTER (level = 'error')::int AS errors, count(*) FILTER (level = 'warn')::int AS warnings, count(*) FILTER (level = 'info')::int AS info FROM c GROUP BY 1 HAVING count(*) >= 50")
+def log_compress_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the trailers of shortened logs count: the levels of all lines."""
+    return log_compress(spark, sf_dir).where("lines_in >= 50").select("user_id", "lines_in", "errors", "warnings", "info")
+
+
+@query()
+def search_compress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hit_blocks(spark, sf_dir).withColumn("r", compress.search(F.col("text"))).select("block", "r.compressed", "r.hits_in", "r.hits_out", "r.files")
+
+
+@query("SELECT lang AS block, count(*)::int AS hits_in FROM (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL) WHERE trim(line) <> '' GROUP BY 1")
+def search_compress_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_compress(spark, sf_dir).select("block", "hits_in")
+
+
+def order_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(o_custkey, text): the orders of each customer as a JSON array."""
+    row = F.struct("o_orderkey", "o_orderstatus", F.round("o_totalprice", 2).alias("o_totalprice"), "o_orderpriority")
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(row)).alias("r"))
+    return o.select("o_custkey", F.concat(F.lit("["), F.array_join(F.transform("r", lambda x: F.to_json(x)), ","), F.lit("]")).alias("text"))
+
+
+@query()
+def crush_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_arrays(spark, sf_dir).withColumn("r", compress.crush(F.col("text"))).select("o_custkey", "r.compressed", "r.was_modified", "r.strategy")
+
+
+@query("""WITH r AS (SELECT o_custkey, o_orderkey, o_orderpriority, o_orderstatus, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
+SELECT o_custkey, '[' || any_value(n) || ']{o_orderkey:int,o_orderpriority:string,o_orderstatus:string}' || chr(10) || string_agg(o_orderkey || ',' || o_orderpriority || ',' || o_orderstatus || chr(10), '' ORDER BY o_orderkey) AS rendered FROM r WHERE n >= 2 GROUP BY 1""")
+def table_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lossless table of each customer's orders."""
+    row = F.struct("o_orderkey", "o_orderstatus", "o_orderpriority")
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(row)).alias("r"))
+    blocks = o.select("o_custkey", F.to_json("r").alias("text"))
+    return blocks.select("o_custkey", compress.table(F.col("text")).alias("rendered")).where("rendered IS NOT NULL")
+
+
+@query()
+def crush_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", F.round("o_totalprice", 2).alias("p")))).alias("r"))
+    blocks = o.select("o_custkey", F.to_json(F.transform("r", lambda x: x["p"])).alias("text"))
+    return blocks.withColumn("r", compress.crush(F.col("text"))).select("o_custkey", "r.compressed", "r.strategy")
+
+
+@query()
+def json_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_arrays(spark, sf_dir).withColumn("r", compress.json_structure(F.col("text"))).select("o_custkey", "r.compressed", "r.keys")
+
+
+@query("SELECT o_custkey, (4 * count(*))::int AS keys FROM orders GROUP BY 1")
+def json_structure_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return json_structure(spark, sf_dir).select("o_custkey", "keys")
+
+
+@query()
+def log_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_blocks(spark, sf_dir).select("user_id", compress.log_template(F.col("text")).alias("collapsed"))
+
+
+@query("SELECT page_id, md5(html) AS content_hash FROM pages WHERE html IS NOT NULL")
+def tag_protect_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages behind placeholders and back are what they were."""
+    p = table(spark, sf_dir, "pages").where("html IS NOT NULL").withColumn("p", compress.protect_tags(F.col("html")))
+    return p.select("page_id", F.md5(compress.restore_tags(F.col("p.text"), F.col("p.names"))).alias("content_hash"))
+
+
+def near_copy_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text): a unified diff made of each document's lines, with every seventh line replaced."""
+    rows = lines.lines(table(spark, sf_dir, "documents").where("text IS NOT NULL"))
+    body = F.when(F.col("line_no") % 7 == 3, F.concat(F.lit("-"), "line", F.lit("\n+"), F.upper("line"))).otherwise(F.concat(F.lit(" "), "line"))
+    g = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", body.alias("b")))).alias("r"))
+    name = F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    head = F.concat(F.lit("diff --git a/"), name, F.lit(" b/"), name, F.lit("\n--- a/"), name, F.lit("\n+++ b/"), name, F.lit("\n@@ -1,"), F.size("r").cast("string"), F.lit(" +1,"), F.size("r").cast("string"), F.lit(" @@\n"))
+    return g.select("doc_id", F.concat(head, F.array_join(F.transform("r", lambda x: x["b"]), "\n")).alias("text"))
+
+
+@query()
+def diff_compress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copy_diffs(spark, sf_dir).withColumn("r", compress.diffs(F.col("text"))).select("doc_id", "r.compressed", "r.lines_in", "r.lines_out", "r.files", "r.additions", "r.deletions")
+
+
+@query("WITH x AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE text IS NOT NULL) SELECT doc_id, count(*) FILTER (line_no % 7 = 3) AS additions, count(*) FILTER (line_no % 7 = 3) AS deletions, 1::bigint AS hunks FROM x GROUP BY 1")
+def diff_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Additions and deletions counted from the diffs' lines by windows and a rollup."""
+    t = lines.diff_totals(lines.lines(near_copy_diffs(spark, sf_dir)))
+    return t.where("file_no IS NULL").select("doc_id", "additions", "deletions", "hunks")
+
+
+@query("WITH x AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no, len(string_split(text, chr(10))) AS n FROM documents WHERE text IS NOT NULL), k AS (SELECT doc_id, n, line_no, (line_no % 7 = 3)::int AS c FROM x), m AS (SELECT *, max(c) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM k) SELECT doc_id, CASE WHEN any_value(n) < 4 THEN least(any_value(n), 2) ELSE sum(near + c * near) END::bigint AS kept FROM m GROUP BY 1")
+def diff_context_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lines.trimmed_context(lines.lines(near_copy_diffs(spark, sf_dir)))
+    return t.groupBy("doc_id").agg(F.count("*").alias("kept"))
+
+
+# plans
+
+
+@query()
+def pipeline_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipeline.run(event_blocks(spark, sf_dir)).select("user_id", "content_type", "output", "saved", "steps")
+
+
+@query()
+def pipeline_bloat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = detect.classify(event_blocks(spark, sf_dir))
+    return blocks.select("user_id", "content_type", F.explode(pipeline.bloat_scores(F.col("text"), F.col("content_type"))).alias("offload", "bloat"))
+
+
+def conversation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation as a request body in the Messages format; every third one's last user turn holds a log."""
+    c = table(spark, sf_dir, "conversations")
+    turn = F.struct("turn", F.col("role"), F.col("text").alias("content"))
+    g = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    logs = event_blocks(spark, sf_dir).select(F.col("user_id").alias("conv_id"), F.col("text").alias("log"))
+    g = g.join(logs, "conv_id", "left").withColumn("log", F.when(F.col("conv_id") % 3 == 0, F.col("log")))
+    messages = F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
+    messages = F.when(F.col("log").isNotNull(), F.concat(messages, F.array(F.struct(F.lit("user").alias("role"), F.col("log").alias("content"))))).otherwise(messages)
+    return g.select(F.col("conv_id").cast("string").alias("request_id"), F.lit("messages").alias("format"), F.lit(None).cast("string").alias("mode"), F.to_json(F.struct(messages.alias("messages"))).alias("body"))
+
+
+@query()
+def live_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return livezone.manifest(conversation_requests(spark, sf_dir)).select("request_id", "part", "idx", "action", "reason", "strategy", "original_tokens", "compressed_tokens", "compressed")
+
+
+@query()
+def live_zone_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = conversation_requests(spark, sf_dir)
+    return livezone.outcomes(r, livezone.manifest(r))
+
+
+@query()
+def manifest_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.manifest_totals(livezone.manifest(conversation_requests(spark, sf_dir)))
+
+
+@query("SELECT conv_id::varchar AS request_id, (turn)::int AS msg_idx, role FROM (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn FROM conversations)")
+def request_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages read back from the bodies as VARIANT."""
+    m = R.messages(conversation_requests(spark, sf_dir))
+    real = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").cast("string").alias("request_id")).agg(F.count("*").cast("int").alias("n"))
+    return m.join(real, "request_id").where("msg_idx < n").select("request_id", "msg_idx", "role")
+
+
+@query("SELECT substr(sha256(text), 1, 24) AS hash, md5(text) AS payload_md5 FROM documents WHERE text IS NOT NULL GROUP BY ALL")
+def ccr_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads put under their keys and read back by a join."""
+    from .sources.store import keyed, live
+
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    stored = live(keyed(d), ttl=3600)
+    return stored.select("hash", F.md5("payload").alias("payload_md5"))
+
+
+@query("SELECT doc_id, (length(text) - length(replace(text, 'the', ''))) // 3 AS n_the FROM documents WHERE text IS NOT NULL")
+def hint_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences of a mark by lengths, as the language hints of code count them."""
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", ((F.length(t) - F.length(F.replace(t, F.lit("the"), F.lit("")))) / 3).cast("long").alias("n_the"))
