@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions import arrays, codetext, difftext, hits, jsontext, loglines, logtemplates, tagspans
+from ..functions import arrays, codetext, difftext, hits, jsontext, loglines, logtemplates, sizing, tagspans
 from ..functions.difftext import DiffRules
 from ..functions.hits import HitRules
 from ..functions.loglines import LogRules
@@ -84,8 +84,8 @@ def crush(text: Column, query: str = "", bias: float = 1.0, rules: arrays.Rules
     return run(text)
 
 
-def table(text: Column) -> Column:
-    """The array as a table with a typed header; null where it is no array of two or more objects."""
+def table(text: Column, style: str = "csv") -> Column:
+    """The array as a table (csv with a typed header, markdown, json); null where it is no array of two or more objects."""
 
     @F.pandas_udf("string")
     def run(text: pd.Series) -> pd.Series:
@@ -94,7 +94,7 @@ def table(text: Column) -> Column:
                 value = jsontext.read(t)
             except ValueError:
                 return None
-            return arrays.table(value) if isinstance(value, list) else None
+            return arrays.table(value, style=style) if isinstance(value, list) else None
 
         return text.map(one, na_action="ignore")
 
@@ -156,3 +156,59 @@ def keep_words(text: Column, scores: Column, least: float = 0.5) -> Column:
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
     pairs = F.arrays_zip(words.alias("w"), scores.alias("s"))
     return F.array_join(F.transform(F.filter(pairs, lambda p: p["s"] > least), lambda p: p["w"]), " ")
+
+
+def adaptive_k(lines: Column, bias: float = 1.0, least: int = 3, most: int | None = None, check: bool = True) -> Column:
+    """How many of an array of texts to keep, by their diversity."""
+
+    @F.pandas_udf("int")
+    def run(lines: pd.Series) -> pd.Series:
+        return lines.map(lambda x: sizing.adaptive_k(list(x), bias, least, most, check), na_action="ignore")
+
+    return run(lines)
+
+
+def near_clusters(lines: Column, radius: int = sizing.SAME) -> Column:
+    """Greedy SimHash clusters of an array of texts; for large tables block on fingerprint bands instead."""
+
+    @F.pandas_udf("int")
+    def run(lines: pd.Series) -> pd.Series:
+        return lines.map(lambda x: sizing.clusters(list(x), radius), na_action="ignore")
+
+    return run(lines)
+
+
+def _array(text: str) -> jsontext.Raw | None:
+    try:
+        value = jsontext.read(text)
+    except ValueError:
+        return None
+    return value if isinstance(value, jsontext.Raw) else None
+
+
+def anchor_places(text: Column, most: int = 15, strategy: str = "smart_sample", query: str = "") -> Column:
+    """Anchor places of a JSON array; null where it is none."""
+
+    @F.pandas_udf("array<int>")
+    def run(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: None if (v := _array(t)) is None else arrays.anchors(v, most, strategy, query), na_action="ignore")
+
+    return run(text)
+
+
+def array_analysis(text: Column) -> Column:
+    """STRUCT<pattern, strategy, crushable, confidence, reason, signals, reduction> of an array of objects."""
+    columns = ["pattern", "strategy", "crushable", "confidence", "reason", "signals", "reduction"]
+
+    @F.pandas_udf("pattern string, strategy string, crushable boolean, confidence double, reason string, signals array<string>, reduction double")
+    def run(text: pd.Series) -> pd.DataFrame:
+        def one(t: str) -> dict:
+            v = _array(t)
+            if v is None or arrays.kind_of(v) != "dict":
+                return dict.fromkeys(columns)
+            a = arrays.analyse(list(v), v.raw)
+            return {c: getattr(a, c) for c in columns}
+
+        return _rows(text, one, columns)
+
+    return run(text)

@@ -633,3 +633,62 @@ def hint_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrences of a mark by lengths, as the language hints of code count them."""
     t = F.col("text")
     return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", ((F.length(t) - F.length(F.replace(t, F.lit("the"), F.lit("")))) / 3).cast("long").alias("n_the"))
+
+
+@query()
+def array_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pattern, verdict and strategy of each customer's orders."""
+    return order_arrays(spark, sf_dir).select("o_custkey", compress.array_analysis(F.col("text")).alias("a")).select("o_custkey", "a.*")
+
+
+@query()
+def anchor_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_arrays(spark, sf_dir).select("o_custkey", compress.anchor_places(F.col("text"), 8).alias("places"))
+
+
+@query()
+def adaptive_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lines of each user's log are worth keeping, and how many distinct ones there are."""
+    rows = F.split("text", "\n")
+    return event_blocks(spark, sf_dir).select("user_id", compress.adaptive_k(rows, 1.0, 10, 100).alias("k"), compress.near_clusters(rows).alias("clusters"))
+
+
+@query("SELECT user_id, event_id, event_type = 'error' AS is_error FROM events WHERE regexp_matches(lower(event_type || ' ' || props), 'error|exception|failed|failure|critical|fatal|crash|panic|abort|timeout|denied|rejected')")
+def error_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("raw", F.concat_ws(" ", "event_type", "props"))
+    return items.error_items(e).select("user_id", "event_id", (F.col("event_type") == "error").alias("is_error"))
+
+
+@query("""WITH p AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, o_orderstatus FROM orders),
+k AS (SELECT o_custkey, i, 'first' AS reason FROM p WHERE i < 2 UNION ALL SELECT o_custkey, i, 'status' FROM p WHERE o_orderstatus = 'P')
+SELECT o_custkey, i::bigint AS item_idx, array_to_string(list_sort(list(DISTINCT reason)), ',') AS reasons FROM k GROUP BY 1, 2""")
+def keep_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keep sets of two rules and why each item is in."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    p = table(spark, sf_dir, "orders").withColumn("item_idx", (F.row_number().over(w) - 1).cast("long"))
+    first = p.where("item_idx < 2").select("o_custkey", "item_idx", F.lit("first").alias("reason"))
+    status = p.where("o_orderstatus = 'P'").select("o_custkey", "item_idx", F.lit("status").alias("reason"))
+    return items.keep_union(first, status, key="o_custkey").select("o_custkey", "item_idx", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("""WITH c AS (SELECT user_id, event_id FROM events WHERE event_type = 'error' AND value > 20), n AS (SELECT user_id, event_id + o AS item_idx FROM c, (SELECT unnest(range(-2, 3)) AS o))
+SELECT DISTINCT user_id, item_idx::bigint AS item_idx FROM n WHERE item_idx >= 0""")
+def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places within two of the given ones, by exploded offsets."""
+    points = table(spark, sf_dir, "events").where("event_type = 'error' AND value > 20").select("user_id", F.col("event_id").alias("item_idx"))
+    return items.neighbours(points, 2, "user_id")
+
+
+@query("""SELECT vec_id, round(CASE WHEN vec_id % 3 = 0 THEN 0.65 ELSE 0.5 END * (vec_id % 10) / 10 + (1 - CASE WHEN vec_id % 3 = 0 THEN 0.65 ELSE 0.5 END) * 0.25, 6)::double AS score FROM embeddings""")
+def hybrid_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact and semantic scores weighed by what the query holds (an identifier in every third one)."""
+    q_text = F.when(F.col("vec_id") % 3 == 0, "ticket 12345").otherwise("plain words")
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(relevance.hybrid((F.col("vec_id") % 10) / 10, F.lit(0.25), q_text), 6).alias("score"))
+
+
+@query("""WITH m AS (SELECT conv_id, turn, text, regexp_extract_all(text, '[0-9]{4}') AS found FROM conversations WHERE role = 'user' AND text IS NOT NULL)
+SELECT conv_id, substr(sha256(string_agg(regexp_replace(text, '[0-9]{4}', '', 'g'), chr(10) || '---' || chr(10) ORDER BY turn)), 1, 16) AS stable_hash, sum(len(found))::bigint AS n_moved FROM m GROUP BY 1""")
+def cache_aligned_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns play the system messages; four digits play the dates."""
+    m = table(spark, sf_dir, "conversations").where("role = 'user' AND text IS NOT NULL").select("conv_id", F.col("turn").alias("msg_idx"), F.lit("system").alias("role"), "text")
+    return policy.aligned_prefix(m, patterns=(r"[0-9]{4}",)).select("conv_id", "stable_hash", F.col("n_moved").cast("long").alias("n_moved"))

@@ -112,6 +112,7 @@ def test_table_header_flattening_and_quotes():
     t = arrays.table([{"a": 1, "b": {"x": 1, "y": "q,z"}}, {"a": 2.5, "b": {"x": 2, "y": None}, "c": True}])
     assert t == '[2]{a:float,b.x:int,b.y:string?,c:bool?}\n1.0,1,"q,z",\n2.5,2,,true\n'
     assert arrays.table([1, 2]) is None
+    assert arrays.table([{"a": 1}, {"b": "x"}], style="markdown") == "### Item 1\n- **a**: 1\n- **b**: \n### Item 2\n- **a**: \n- **b**: x"
 
 
 def test_crush_keeps_errors_and_outliers():
