@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Ids that may be broadcast at most (16 MB of longs); a larger side is joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,6 +28,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """At most ``BATCH_ROWS`` rows of whole texts in an Arrow batch of this session, so that workers stay small; never more than set."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def written(df: DataFrame, name: str = "t") -> DataFrame:
     """df, written once as Parquet in the shared folder and read back: it cuts the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

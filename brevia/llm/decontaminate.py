@@ -137,6 +137,7 @@ def _match(items: Items, k: int, least: float):
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document and item that it holds: doc_id, item_id, similarity, word_start, word_end of the best window."""
+    common.small_batches(docs.sparkSession)
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL AND item_id IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0

@@ -162,6 +162,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def _decide(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """All rows with uid and representative, and the decision on each representative's group."""
     spark = docs.sparkSession
+    common.small_batches(spark)
     rows = docs.select(F.struct("*").alias("row"))
     schema = T.StructType([*rows.schema.fields, *(T.StructField(c, k) for c, k in (("uid", T.LongType()), ("rep", T.LongType()), ("n_cp", T.LongType()), ("sha", T.BinaryType()), ("path", T.BinaryType())))])
     tagged = common.written(rows.mapInArrow(_tag(text_col), schema), "tagged")

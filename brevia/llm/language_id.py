@@ -23,12 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .textkernel import SPACE, U, segments, slices, text_buffers
 
 #: Labelled rows used for training at most, about.
 SAMPLE = 20_000
 ORDERS, BITS = (2, 3, 4), 17
 CLIP, SWITCH = 4.0, 12.0
+#: Bytes of text handled at once: n-grams take many times their size.
+SLICE = 1 << 17
 UNKNOWN = "und"
 #: Script of a letter by the first byte of its UTF-8 form; 0: no letter.
 # Ranges of lead bytes.
@@ -173,7 +176,7 @@ def _count(languages: list[str]):
         for batch in batches:
             lang = np.array([languages.index(x) for x in batch.column(1).to_pylist()])
             data, off = text_buffers(batch.column(0))
-            for lo, hi, b, o in slices(data, off):
+            for lo, hi, b, o in slices(data, off, SLICE):
                 b = folded(b)
                 start, stop, counts = segments(b, o, SPACE)
                 of = np.repeat(lang[lo:hi], counts)
@@ -191,6 +194,7 @@ def _count(languages: list[str]):
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
     """A model from (id, text, lang) rows without nulls; what comes to the driver has a fixed bound per language."""
+    common.small_batches(labelled.sparkSession)
     per_lang = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     languages = sorted(per_lang)
     if not languages:
@@ -214,7 +218,7 @@ def _predict(model: Model | None):
             names, scores = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
             if model is not None:
                 data, off = text_buffers(batch.column(1))
-                for lo, hi, b, o in slices(data, off):
+                for lo, hi, b, o in slices(data, off, SLICE):
                     lang, share, _, _ = label_rows(model, b, o)
                     names[lo:hi] = [model.languages[k] if k >= 0 else UNKNOWN for k in lang.tolist()]
                     scores[lo:hi] = share
@@ -231,6 +235,7 @@ def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) of every row."""
+    common.small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     return rows.mapInArrow(_predict(model), "doc_id long, lang_pred string, score double")
 
@@ -246,7 +251,7 @@ def _identified(model: Model | None, at: int):
         for batch in batches:
             keep: list[bool] = []
             data, off = text_buffers(batch.column(at))
-            for _, _, b, o in slices(data, off):
+            for _, _, b, o in slices(data, off, SLICE):
                 keep += [False] * (len(o) - 1) if model is None else (label_rows(model, b, o)[0] >= 0).tolist()
             yield batch.filter(pa.array(keep, pa.bool_()))
 

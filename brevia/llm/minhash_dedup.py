@@ -168,6 +168,7 @@ def _settle(percent: int):
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document; links have 100 * intersection >= percent * union."""
+    common.small_batches(docs.sparkSession)
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id IS NOT NULL")
     sig = common.written(base.mapInArrow(_signatures(k), "id long, n long, d1 long, d2 long, keys binary").dropDuplicates(["id"]), "sig")
     full = sig.where("n > 0")

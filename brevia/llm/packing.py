@@ -108,6 +108,7 @@ def pack(
 ) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Capacities left out don't bind."""
     documents, cost = documents or tokens, cost or tokens**2
+    common.small_batches(docs.sparkSession)
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     pieces = common.written(base.mapInArrow(_pieces(path, end_id, tokens), PIECE), "pieces")
     n = pieces.where(F.col("length") < tokens).count()

@@ -229,6 +229,7 @@ def write_files(docs: DataFrame, out: str, path: str, end_id: int = 1, joins_spa
     empty table gives no segment; further columns are ignored.
     """
     spark = docs.sparkSession
+    common.small_batches(spark)
     base = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     tokens = common.written(base.mapInArrow(_tokenise(path, end_id, joins_space), "doc_id long, ids binary"), "ids")
     # one count per id of the vocabulary, whatever the corpus

@@ -186,6 +186,7 @@ def _verify(k: int, t: int, least: float):
 
 def repeated_passages(docs: DataFrame, words: int = 50, k: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per verified passage of at least ``words`` words that an earlier place has too: doc_id, start, end (words), first_doc_id, first_start, similarity."""
+    common.small_batches(docs.sparkSession)
     t = words - k + 1
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id IS NOT NULL")
     keys = base.mapInArrow(_keys(k, t), "key long, doc long, pos int, lo int, hi int")
