@@ -8,9 +8,13 @@ smaller hash of one is one too, so a sliding minimum and a stack over few candid
 
 Windows are grouped by pivot token and one anchor token half a passage to the right or left, where the window
 reaches that far: any passage of t tokens that two places share keeps at least one of the two keys. Within a
-key, every window meets the first one only (a star by a min aggregate and a join, never all pairs). What all
-hash functions find on one diagonal of two texts becomes one interval, which is verified on the token
-sequences: kept are the stretches of t-token windows whose aligned similarity is at least ``least``.
+key, every window meets the first one (a star by a min aggregate and a join). What all hash functions find on one
+diagonal of two texts becomes one interval, which is verified on the token sequences: kept are the stretches of
+t-token windows whose aligned similarity is at least ``least``.
+
+Windows that did not verify against the first one of their key are settled exactly: each is held against all
+earlier windows of the key, in blocks of bounded size, on the tokens around the pivot, and joins the first that
+has a passage over the pivot in common with it.
 
 Defined cases: null, empty and short texts have no passage; rows without an id are left out; rows that repeat
 an id are one document; an empty table gives an empty result; further columns are ignored.
@@ -30,6 +34,8 @@ from .textkernel import U, lowered_words, mix, seeds, shingles, slices, text_buf
 
 HASHES = 3
 _SEEDS = seeds(HASHES, 17)
+#: Windows of a key in one block when a key is settled.
+BLOCK = 2_000
 OUT = "doc_id long, start long, end long, first_doc_id long, first_start long, similarity double"
 
 
@@ -184,19 +190,126 @@ def _verify(k: int, t: int, least: float):
     return run
 
 
+MEMBER = "key long, doc long, pos int, open boolean, own_lo int, own_hi int, lo int, hi int, around binary"
+
+
+def _around(k: int, t: int):
+    """(doc, members, sequence) to one row per member: the 2t - 1 tokens around its pivot, and the first and last place there where a window of t tokens may start (own_lo, own_hi: within its compact window; lo, hi: within the text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i, (doc, members) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                h = np.frombuffer(batch.column(2)[i].as_buffer(), "<u4")
+                wide = np.concatenate([np.zeros(t - 1, "<u4"), h, np.zeros(t - 1, "<u4")])
+                for m in members:
+                    p = m["pos"]
+                    rows.append((m["key"], doc, p, m["open"], max(m["lo"] - p + t - 1, 0), min(m["hi"] - p - 1, t - 1), max(t - 1 - p, 0), min(len(h) - p - 1, t - 1), wide[p : p + 2 * t - 1].tobytes()))
+            c = list(zip(*rows)) or [()] * 9
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.bool_()), *(pa.array(x, pa.int32()) for x in c[4:8]), pa.array(c[8], pa.binary())],
+                ["key", "doc", "pos", "open", "own_lo", "own_hi", "lo", "hi", "around"],
+            )
+
+    return run
+
+
+def first_partners(doc: np.ndarray, pos: np.ndarray, around: np.ndarray, own: np.ndarray, bounds: np.ndarray, guests: np.ndarray, homes: np.ndarray, t: int, least: float) -> list[tuple[int, int]]:
+    """(guest, home) indexes: for each guest the first earlier home with a similar window of t tokens over both pivots, if any."""
+    homes = homes[np.lexsort((pos[homes], doc[homes]))]
+    found = []
+    starts = np.arange(t)
+    for g in guests.tolist():
+        d, p = doc[homes], pos[homes]
+        earlier = homes[(d < doc[g]) | ((d == doc[g]) & (p <= pos[g] - t))]
+        for lo in range(0, len(earlier), 256):
+            part = earlier[lo : lo + 256]
+            same = around[part] == around[g]
+            part, same = (x[same.sum(1) >= least * t] for x in (part, same))
+            if not len(part):
+                continue
+            c = np.concatenate([np.zeros((len(part), 1), np.int64), np.cumsum(same, 1)], 1)
+            inter = c[:, t:] - c[:, :-t]
+            first, last = np.maximum(bounds[part, 0], own[g, 0]), np.minimum(bounds[part, 1], own[g, 1])
+            good = ((inter >= least * (2 * t - inter)) & (starts >= first[:, None]) & (starts <= last[:, None])).any(1)
+            if good.any():
+                found.append((g, int(part[good.argmax()])))
+                break
+    return found
+
+
+def _settle(t: int, least: float):
+    """Blocks of open windows (guests) against blocks of windows, key by key."""
+
+    def run(table: pa.Table) -> pa.Table:
+        x = table.combine_chunks()
+        key, doc, pos, *ends = (x[c].to_numpy() for c in ("key", "doc", "pos", "own_lo", "own_hi", "lo", "hi"))
+        guest = x["guest"].to_numpy(zero_copy_only=False).astype(bool)
+        around = np.frombuffer(b"".join(x["around"].to_pylist()), "<u4").reshape(len(key), 2 * t - 1)
+        own, bounds = np.stack(ends[:2], 1), np.stack(ends[2:], 1)
+        order = np.argsort(key, kind="stable")
+        found = []
+        for part in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+            found += first_partners(doc, pos, around, own, bounds, part[guest[part]], part[~guest[part]], t, least)
+        i, j = (np.array(c, np.int64) for c in (list(zip(*found)) or [(), ()]))
+        return pa.table({"key": pa.array(key[i]), "doc": pa.array(doc[i]), "pos": pa.array(pos[i]), "to_doc": pa.array(doc[j]), "to_pos": pa.array(pos[j])})
+
+    return run
+
+
+def _more_diagonals(members: DataFrame, verified: DataFrame, pairs: DataFrame, seqs: DataFrame, k: int, t: int, least: float) -> DataFrame | None:
+    """Diagonals of the windows that did not verify against the first of their key with the first window that they do match; None if all did."""
+    held = verified.selectExpr("doc_id AS doc", "first_doc_id AS first_doc", "start - first_start AS shift", "start", f"end - {k - 1} AS stop")
+    spans = F.broadcast(held) if held.count() <= common.BROADCAST_IDS // 16 else held
+    m = members.where("n > 2").withColumn("shift", F.expr("CAST(pos - first_pos AS long)")).alias("m")
+    missed = m.join(spans.alias("h"), F.expr("m.doc = h.doc AND m.first_doc = h.first_doc AND m.shift = h.shift AND m.pos >= h.start AND m.pos < h.stop"), "left_anti")
+    missed = common.written(missed.where(f"doc <> first_doc OR pos - first_pos >= {t}").select("key", "doc", "pos"), "missed")
+    if missed.isEmpty():
+        return None
+    rows = members.join(missed.select("key").distinct(), "key").where("doc <> first_doc OR pos <> first_pos").join(missed.withColumn("open", F.lit(True)), ["key", "doc", "pos"], "left")
+    of_doc = rows.groupBy("doc").agg(F.collect_list(F.struct("key", "pos", "lo", "hi", F.coalesce("open", F.lit(False)).alias("open"))).alias("members"))
+    near = common.written(of_doc.join(seqs.withColumnRenamed("id", "doc"), "doc").select("doc", "members", "seq").mapInArrow(_around(k, t), MEMBER), "around")
+    size = near.groupBy("key").agg(F.count("*").alias("m"), F.count_if("open").alias("o"))
+    n = max(1, -(-near.count() // BLOCK))
+    # small keys share a block by their hash; in larger ones every block of open windows meets every block of windows
+    sized = near.join(size, "key").where("m > 1").withColumn("nb", F.expr(f"CAST(ceil(m / {BLOCK}) AS int)")).withColumn("ng", F.expr(f"CAST(ceil(o / {BLOCK}) AS int)"))
+    sized = sized.withColumn("grp", F.expr(f"CASE WHEN m <= {BLOCK} THEN pmod(xxhash64(key), {n}) ELSE key END")).withColumn("large", F.expr(f"m > {BLOCK}"))
+    cols = ["key", "doc", "pos", "own_lo", "own_hi", "lo", "hi", "around", "large", "grp"]
+    homes = sized.select(*cols, F.expr("explode(sequence(0, ng - 1)) AS g"), F.expr("CAST(pmod(xxhash64(doc, pos), nb) AS int) AS block"), F.lit(False).alias("guest"))
+    guests = sized.where("open").select(*cols, F.expr("CAST(pmod(xxhash64(doc, pos, 1), ng) AS int) AS g"), F.expr("explode(sequence(0, nb - 1)) AS block"), F.lit(True).alias("guest"))
+    links = homes.union(guests).groupBy("large", "grp", "g", "block").applyInArrow(_settle(t, least), "key long, doc long, pos int, to_doc long, to_pos int")
+    first = links.groupBy("key", "doc", "pos").agg(F.min(F.struct("to_doc", "to_pos")).alias("to"))
+    ends = near.select("key", "doc", "pos", F.expr(f"pos + own_lo - {t - 1} AS lo"), F.expr("pos + own_hi + 1 AS hi"))
+    diag = first.join(ends, ["key", "doc", "pos"]).groupBy("doc", F.col("to.to_doc").alias("first_doc"), F.expr("pos - to.to_pos AS shift")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    # a diagonal that the stars had found too is verified once more, over both intervals
+    old = pairs.withColumnsRenamed({"lo": "old_lo", "hi": "old_hi"})
+    return common.written(diag.join(old, ["doc", "first_doc", "shift"], "left").select("doc", "first_doc", "shift", F.least("lo", "old_lo").alias("lo"), F.greatest("hi", "old_hi").alias("hi")), "more")
+
+
 def repeated_passages(docs: DataFrame, words: int = 50, k: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per verified passage of at least ``words`` words that an earlier place has too: doc_id, start, end (words), first_doc_id, first_start, similarity."""
     common.small_batches(docs.sparkSession)
     t = words - k + 1
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id IS NOT NULL")
     keys = base.mapInArrow(_keys(k, t), "key long, doc long, pos int, lo int, hi int")
-    firsts = keys.groupBy("key").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos"))
+    firsts = keys.groupBy("key").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "n", F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos"))
+    members = common.written(keys.join(firsts, "key"), "members")
     pairs = (
-        keys.join(firsts, "key").where("doc <> first_doc OR pos - first_pos >= %d" % t)
+        members.where("doc <> first_doc OR pos - first_pos >= %d" % t)
         .groupBy("doc", "first_doc", (F.col("pos") - F.col("first_pos")).alias("shift")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     )
     pairs = common.written(pairs, "diagonals")
     party = common.written(pairs.select(F.explode(F.array("doc", "first_doc")).alias("id")).distinct(), "party")
     seqs = common.written(common.keyed_filter(base, party, "id").mapInArrow(_sequences(k), "id long, seq binary").dropDuplicates(["id"]), "seqs")
-    both = pairs.join(seqs.selectExpr("id AS doc", "seq AS a"), "doc").join(seqs.selectExpr("id AS first_doc", "seq AS b"), "first_doc")
-    return both.select("doc", "first_doc", "shift", "lo", "hi", "a", "b").mapInArrow(_verify(k, t, least), OUT)
+
+    def verify(some: DataFrame) -> DataFrame:
+        both = some.join(seqs.selectExpr("id AS doc", "seq AS a"), "doc").join(seqs.selectExpr("id AS first_doc", "seq AS b"), "first_doc")
+        return both.select("doc", "first_doc", "shift", "lo", "hi", "a", "b").mapInArrow(_verify(k, t, least), OUT)
+
+    verified = common.written(verify(pairs), "verified")
+    more = _more_diagonals(members, verified, pairs, seqs, k, t, least)
+    if more is None:
+        return verified
+    again = more.selectExpr("doc AS doc_id", "first_doc AS first_doc_id", "CAST(shift AS long) AS shift")
+    kept = verified.withColumn("shift", F.expr("start - first_start")).join(again, ["doc_id", "first_doc_id", "shift"], "left_anti").select(verified.columns)
+    return kept.union(verify(more))

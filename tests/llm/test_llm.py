@@ -388,6 +388,42 @@ def test_repeated_passages(spark):
     assert substring_dedup.repeated_passages(empty(spark)).count() == 0
 
 
+def test_passages_behind_an_unlike_first_holder_of_their_keys(spark):
+    rng = random.Random(21)
+    rows, hidden = [], 0
+    for i in range(40):  # the first document holds most of a passage, but too little to be one; the next two share all of it
+        passage = words(rng, 50, 9**9).split()
+        rows += [(3 * i, words(rng, 60, 9**9) + " " + " ".join(passage[:44])), (3 * i + 1, words(rng, 60, 9**9) + " " + " ".join(passage)), (3 * i + 2, words(rng, 40, 9**9) + " " + " ".join(passage))]
+    # drift: each version changes one word of the one before, so the third is a copy of the second but not of the first
+    one = words(rng, 60, 9**9).split()
+    two, three = list(one), list(one)
+    two[15] = three[15] = "drift1"
+    three[44] = "drift2"
+    rows += [(200 + i, words(rng, 50, 9**9) + " " + " ".join(w)) for i, w in enumerate((one, two, three))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.first_doc_id): (r.start, r.end) for r in substring_dedup.repeated_passages(df).collect()}
+    for i in range(40):
+        hidden += got.get((3 * i + 2, 3 * i + 1)) != (40, 90)
+    assert hidden <= 1 and (201, 200) in got and (202, 201) in got
+    assert len({(r.doc_id, r.first_doc_id, r.start) for r in substring_dedup.repeated_passages(df).collect()}) == len(got)
+
+
+def test_first_partners_are_those_of_all_pairs():
+    rng = np.random.default_rng(4)
+    t, n = 10, 60
+    base = rng.integers(1, 9, (4, 19), "u4")
+    around = base[rng.integers(0, 4, n)].copy()
+    around[rng.random((n, 19)) < 0.12] = 99
+    doc, pos = rng.permutation(n).astype(np.int64), rng.integers(0, 50, n)
+    own = np.stack([rng.integers(0, 5, n), rng.integers(4, 10, n)], 1)
+    bounds = np.stack([rng.integers(0, 3, n), rng.integers(6, 10, n)], 1)
+    got = dict(substring_dedup.first_partners(doc, pos, around, own, bounds, np.arange(n), np.arange(n), t, 0.8))
+    for g in range(n):
+        ok = lambda j: any((m := int((around[g, s : s + t] == around[j, s : s + t]).sum())) >= 0.8 * (2 * t - m) for s in range(max(own[g, 0], bounds[j, 0]), min(own[g, 1], bounds[j, 1]) + 1))
+        want = [j for j in np.argsort(doc).tolist() if doc[j] < doc[g] and ok(j)]
+        assert got.get(g) == (want[0] if want else None)
+
+
 # 8 language
 
 
