@@ -28,8 +28,8 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Character class, its pattern, least entropy in bits of the best window.
 CLASSES = (("digits", "^[0-9]+$", 9.0), ("hex", "^[0-9a-fA-F]+$", 3.2), ("letters", "^[A-Za-z]+$", 4.2), ("mixed", "^.*$", 3.8))
-#: Well-known harmless candidates: words joined by signs, rules of one sign, UUIDs, and placeholders.
-ALLOW = r"^[A-Za-z]+([/_=+-]+[A-Za-z]+)+[/_=+-]*$|^[/_=+-]+|^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|(?i:example|sample|placeholder|changeme|dummy|your_)"
+#: Well-known harmless candidates: words joined by signs (with a slash before them, too), rules of one sign, UUIDs, and placeholders.
+ALLOW = r"^/?[A-Za-z]+([/_=+-]+[A-Za-z]+)+[/_=+-]*$|^[/_=+-]+$|^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|(?i:example|sample|placeholder|changeme|dummy|your_)"
 
 
 def _quoted(pattern: str) -> str:

@@ -363,6 +363,17 @@ def test_secrets_equal_the_model(spark):
         assert ([r.n_assign, r.n_access, r.n_hex], r.base_sha256, r.spans) == (n, base, spans), texts[r.doc_id]
 
 
+def added_spans(spark, texts):
+    return {r.doc_id for r in secret_scan.secret_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("spans LIKE '%entropy:%'").collect()}
+
+
+def test_secrets_behind_a_sign_are_found_and_rules_are_not(spark):
+    key = "wJalrXUtnFEMIK7MDENG9bPxRfiCY4zQ2"
+    found = [f"key[0]{s}{key}" if s == "=" else f"x {s}{key}" for s in "/_=+-"] + ["/9j/4AAQSkZJRgBHxT7mLqWc2vNdYe8"]
+    harmless = ["=" * 30, "-_" * 15, "/usr/local/share/applications/icons", "words-joined-by-signs-are-not-keys"]
+    assert added_spans(spark, found + harmless) == set(range(len(found)))
+
+
 # 7 substring dedup
 
 
