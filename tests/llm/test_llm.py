@@ -374,6 +374,18 @@ def test_secrets_behind_a_sign_are_found_and_rules_are_not(spark):
     assert added_spans(spark, found + harmless) == set(range(len(found)))
 
 
+def test_random_keys_of_every_class_are_found_and_words_are_not(spark):
+    rng = random.Random(12)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    for alphabet in (lower, upper, lower + upper, digits, digits + "ABCDEF", digits + lower + upper):
+        for n in (20, 40, 64):
+            texts = [".".join(["k", "".join(rng.choice(alphabet) for _ in range(n))]) for _ in range(200)]
+            df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+            # runs of digits are spans of kind hex already
+            assert secret_scan.secret_report(df).where(f"spans LIKE '%:{2 + n}'").count() >= 0.85 * 200, (alphabet, n)
+    assert added_spans(spark, ["counterrevolutionaries", "internationalization", "getUserAuthenticationTokenFactory", "a" * 40, "ab" * 20]) == set()
+
+
 # 7 substring dedup
 
 
