@@ -229,7 +229,7 @@ def hit_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(block, text): lines of documents as hits file:number:content, one block per language."""
     rows = lines.lines(table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text", "lang", "source"), "doc_id")
     named = rows.join(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id").where("trim(line) <> ''")
-    hit = F.concat_ws(":", F.concat("source", F.lit("/d"), F.col("doc_id").cast("string"), F.lit(".txt")), (F.col("line_no") + 1).cast("string"), F.left("line", F.lit(80)))
+    hit = F.concat_ws(":", F.concat("source", F.lit("/d"), F.col("doc_id").cast("string"), F.lit(".txt")), (F.col("line_no") + 1).cast("string"), "line")
     grouped = named.select("lang", F.struct("doc_id", "line_no", hit.alias("hit")).alias("h")).groupBy("lang").agg(F.array_sort(F.collect_list("h")).alias("h"))
     return grouped.select(F.col("lang").alias("block"), F.array_join(F.transform("h", lambda x: x["hit"]), "\n").alias("text"))
 
@@ -439,6 +439,14 @@ def prefix_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.prefix_drift(c, F.left("text", F.lit(20)), "conv_id", "turn").select("conv_id", "turn", "prefix_hash", "previous_hash", "prefix_changed")
 
 
+@query("""WITH h AS (SELECT conv_id, turn, substr(sha256(text), 1, 16) AS prefix_hash FROM conversations WHERE text IS NOT NULL)
+SELECT conv_id, turn, prefix_hash, lag(prefix_hash) OVER w AS previous_hash, coalesce(lag(prefix_hash) OVER w <> prefix_hash, false) AS prefix_changed FROM h WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+def prefix_drift_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drift of whole texts; prefix_drift hashes their first 20 characters, as its SQL does."""
+    c = table(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    return policy.prefix_drift(c, F.col("text"), "conv_id", "turn").select("conv_id", "turn", "prefix_hash", "previous_hash", "prefix_changed")
+
+
 @query("""WITH a AS (SELECT conv_id, turn, 'call' || ((turn + 1) // 2) AS id FROM conversations WHERE role = 'assistant'), r AS (SELECT conv_id, turn, 'call' || (turn // 2) AS id FROM conversations WHERE role = 'user'),
 l AS (SELECT conv_id, id, max(turn) AS call_idx FROM a GROUP BY 1, 2) SELECT DISTINCT r.conv_id, call_idx, r.turn AS result_idx FROM r JOIN l ON l.conv_id = r.conv_id AND l.id = r.id""")
 def tool_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,3 +64,16 @@ def test_entry_without_the_optional_parts():
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout.split()
     assert int(out[-2]) == len(Q.QUERIES) and out[-1] == "False"
+
+
+def test_search_compress_sees_whole_lines(spark, tmp_path):
+    text = "x" * 100 + " ERROR: the end of a long line\nshort"
+    spark.createDataFrame([(1, text, "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    row = Q.search_compress(spark, str(tmp_path)).first()
+    assert "the end of a long line" in row["compressed"] and row["hits_in"] == 2
+
+
+def test_prefix_drift_whole_sees_late_changes(spark, tmp_path):
+    rows = [(1, 0, "user", "p" * 30 + "a"), (1, 1, "user", "p" * 30 + "b"), (1, 2, "user", "p" * 30 + "b")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert [r["prefix_changed"] for r in Q.prefix_drift_whole(spark, str(tmp_path)).orderBy("turn").collect()] == [False, True, False]
