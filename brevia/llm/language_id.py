@@ -6,8 +6,8 @@ to the average of the languages, cut at ``CLIP``; a language that has (nearly) n
 candidate. The best path over a text's words, where each change of language costs ``SWITCH``, gives spans; the
 prediction is the language with most letters (bytes of words with letters), its share is the score.
 
-Most texts have one language: where no stretch of words gains more than the penalty for any other language, the
-best path is constant, which three numpy passes decide; other texts get the full dynamic programme.
+Most texts have one language: where no stretch of words gains more than the penalty even if each word takes its
+best other language, the best path is constant, which numpy passes decide; other texts get the full dynamic programme.
 
 Defined cases: null text and text without a letter give ``und`` and 0; if nothing was learned, every text gives
 ``und``; repeated rows are predicted each; an empty table gives an empty result; further columns are ignored.
@@ -149,17 +149,20 @@ def label_rows(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.
     main = total.argmax(1)
     mixed = np.zeros(rows, bool)
     full = np.flatnonzero(counts)
-    if len(full):
-        # gains of every stretch of words for another language; rows are kept apart by a large step down
+    if len(full) and score.shape[1] > 1:
+        # gain of every stretch of words if each takes the best other language, which no path can exceed; rows are kept apart by a large step down
         apart = row * -1e7
-        for k in range(score.shape[1]):
-            c = np.cumsum(score[:, k] - score[np.arange(len(row)), main[row]])
-            base = np.where(first[row] > 0, c[np.maximum(first[row] - 1, 0)], 0.0)
-            after = c - base
-            before = np.concatenate([[0.0], after[:-1]])
-            before[first[full]] = 0.0
-            gain = after - (np.minimum.accumulate(before + apart) - apart)
-            mixed[full] |= (np.maximum.reduceat(gain, first[full]) > SWITCH) & (main[full] != k)
+        own = main[row]
+        rest = score.copy()
+        rest[np.arange(len(row)), own] = -np.inf
+        step = np.maximum(rest.max(1), score.min() - 1e3) - score[np.arange(len(row)), own]
+        c = np.cumsum(step)
+        base = np.where(first[row] > 0, c[np.maximum(first[row] - 1, 0)], 0.0)
+        after = c - base
+        before = np.concatenate([[0.0], after[:-1]])
+        before[first[full]] = 0.0
+        gain = after - (np.minimum.accumulate(before + apart) - apart)
+        mixed[full] = np.maximum.reduceat(gain, first[full]) > SWITCH
     lang, share = np.where(letters > 0, main, -1), (letters > 0).astype(float)
     paths: list[np.ndarray | None] = [None] * rows
     for r in np.flatnonzero(mixed & (letters > 0)):

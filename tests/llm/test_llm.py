@@ -465,6 +465,24 @@ def test_language_spans_and_scores(spark):
     assert {r.held_out for r in language_id.language_report(df).collect()} == {True, False}
 
 
+def test_the_shortcut_is_the_best_path():
+    class Fixed:
+        def words(self, data, start, stop):
+            return self.score[: len(start)], np.ones(len(start), bool)
+
+    rng, model = np.random.default_rng(2), Fixed()
+    cases = [np.array([[0, -1.9, -4.0]] * 5 + [[-4.0, -1.9, 0]] * 5)] + [rng.choice([0, -1.9, -4.0], (12, 3)) for _ in range(200)]
+    for score in cases:
+        model.score = score
+        text = np.frombuffer(b" ".join([b"ab"] * len(score)), np.uint8)
+        lang, share, _, _ = language_id.label_rows(model, text, np.array([0, len(text)]))
+        value = lambda p: score[np.arange(len(p)), p].sum() - language_id.SWITCH * (np.diff(p) != 0).sum()
+        path = language_id.best_path(score, language_id.SWITCH)
+        by = np.bincount(path, minlength=3)
+        same_value = share[0] == 1 and value(np.full(len(score), lang[0])) >= value(path) - 1e-9
+        assert same_value or (by[lang[0]] == by.max() and share[0] == by.max() / len(score))
+
+
 def test_constant_paths_are_the_best_paths():
     rng = np.random.default_rng(1)
     for _ in range(50):
