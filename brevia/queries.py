@@ -408,6 +408,29 @@ def cosine_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.crossJoin(F.broadcast(one)).select("vec_id", "label", F.round(relevance.cosine(F.col("embedding"), F.col("q")), 5).alias("score"))
 
 
+@query(f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), {q(P.TERM)})) AS term FROM documents),
+d AS (SELECT doc_id, len(regexp_extract_all(lower(text), {q(P.TERM)})) AS len FROM documents), a AS (SELECT avg(len) AS avgdl FROM d),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2), qf AS (SELECT item_id AS query_id, term, count(*) AS qf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), {q(P.TERM)})) AS term FROM benchmark) GROUP BY 1, 2),
+s AS (SELECT tf.doc_id, query_id, sum(ln(2) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl)) * qf) AS raw, bool_or(octet_length(encode(tf.term)) >= 8) AS l, count(*) AS n_matched FROM tf JOIN qf ON qf.term = tf.term JOIN d ON d.doc_id = tf.doc_id, a GROUP BY 1, 2),
+r AS (SELECT doc_id, query_id, round(CASE WHEN l THEN least(least(raw / 10, 1.0) + 0.3, 1.0) ELSE least(raw / 10, 1.0) END, 6) AS score, n_matched FROM s)
+SELECT doc_id, query_id, score, n_matched FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, n_matched DESC, doc_id) AS n FROM r) WHERE n <= 10""")
+def bm25_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top ten documents for every item of the benchmark; bm25_documents has the first ten items, as its SQL does."""
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    scored = relevance.bm25(table(spark, sf_dir, "documents"), queries).select("doc_id", "query_id", F.round("score", 6).alias("score"), F.size("matched").cast("long").alias("n_matched"))
+    return items.top_n(scored, 10, "query_id", [F.desc("score"), F.desc("n_matched"), "doc_id"])
+
+
+@query("""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, round(greatest(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 0.0), 5) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)
+SELECT vec_id, label, query_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s) WHERE n <= 10""")
+def cosine_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every vector whose id is divisible by 100; cosine_embeddings has the first vector alone, as its SQL does."""
+    e = table(spark, sf_dir, "embeddings")
+    ask = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    scored = e.crossJoin(ask).select("vec_id", "label", "query_id", F.round(relevance.cosine(F.col("embedding"), F.col("q")), 5).alias("score"))
+    return items.top_n(scored, 10, "query_id", [F.desc("score"), "vec_id"])
+
+
 # conversations, policy, stores
 
 

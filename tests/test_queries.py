@@ -77,3 +77,10 @@ def test_prefix_drift_whole_sees_late_changes(spark, tmp_path):
     rows = [(1, 0, "user", "p" * 30 + "a"), (1, 1, "user", "p" * 30 + "b"), (1, 2, "user", "p" * 30 + "b")]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     assert [r["prefix_changed"] for r in Q.prefix_drift_whole(spark, str(tmp_path)).orderBy("turn").collect()] == [False, True, False]
+
+
+def test_searches_ask_for_every_query(spark):
+    items = {r["item_id"] for r in Q.table(spark, SF, "benchmark").collect()}
+    vectors = {r["vec_id"] for r in Q.table(spark, SF, "embeddings").where("vec_id % 100 = 0").collect()}
+    assert max(items) >= 10 and {r["query_id"] for r in Q.QUERIES["bm25_benchmark"](spark, SF).collect()} == items
+    assert len(vectors) > 1 and {r["query_id"] for r in Q.QUERIES["cosine_nearest"](spark, SF).collect()} == vectors
