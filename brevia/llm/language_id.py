@@ -15,6 +15,7 @@ Defined cases: null text and text without a letter give ``und`` and 0; if nothin
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,17 +34,19 @@ CLIP, SWITCH = 4.0, 12.0
 #: Bytes of text handled at once: n-grams take many times their size.
 SLICE = 1 << 17
 UNKNOWN = "und"
-#: Script of a letter by the first byte of its UTF-8 form; 0: no letter.
+#: Script of a letter by the first byte of its UTF-8 form; 0 stands for ``other``.
 # Ranges of lead bytes.
 SCRIPTS = (
     ("latin", ((0x41, 0x5A), (0x61, 0x7A), (0xC3, 0xC9))), ("greek", ((0xCD, 0xCF),)), ("cyrillic", ((0xD0, 0xD4),)), ("hebrew", ((0xD6, 0xD7),)),
-    ("arabic", ((0xD8, 0xDB),)), ("indic", ((0xE0, 0xE0),)), ("other3", ((0xE1, 0xE1),)), ("kana_cjk", ((0xE3, 0xE9),)), ("hangul", ((0xEA, 0xED),)),
+    ("arabic", ((0xD8, 0xDB),)), ("indic", ((0xE0, 0xE0),)), ("other3", ((0xE1, 0xE1),)), ("kana_cjk", ((0xE3, 0xE9),)), ("hangul", ((0xEA, 0xED),)), ("other", ()),
 )
 SCRIPT = np.zeros(256, np.int8)
 for _i, (_, _ranges) in enumerate(SCRIPTS):
     for _lo, _hi in _ranges:
         SCRIPT[_lo : _hi + 1] = _i + 1
-LETTER = SCRIPT > 0
+SCRIPT[SCRIPT == 0] = len(SCRIPTS)
+#: Letters: code points of a category L*.
+LETTER = np.array([unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)])
 
 
 def folded(data: np.ndarray) -> np.ndarray:
@@ -82,9 +85,21 @@ def grams(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.nda
     return np.concatenate(buckets), np.concatenate(words)
 
 
+def letter_places(data: np.ndarray) -> np.ndarray:
+    """Places of the first bytes of letters in UTF-8."""
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    lead = data[at].astype(np.int64)
+    more = (lead >= 0xC0).astype(np.int64) + (lead >= 0xE0) + (lead >= 0xF0)
+    point = np.where(more == 0, lead, lead & (0x3F >> more))
+    for i in (1, 2, 3):
+        on = np.flatnonzero(more >= i)
+        point[on] = point[on] << 6 | data[np.minimum(at[on] + i, len(data) - 1)] & 0x3F
+    return at[LETTER[np.minimum(point, len(LETTER) - 1)]]
+
+
 def scripts_of(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """Script of each word: the one of its first letter, 0 if it has none."""
-    letters = np.flatnonzero(LETTER[data])
+    letters = letter_places(data)
     k = np.searchsorted(letters, start)
     at = letters[np.minimum(k, max(len(letters) - 1, 0))] if len(letters) else np.zeros(len(start), np.int64)
     return np.where((k < len(letters)) & (at < stop), SCRIPT[data[at]] if len(data) else 0, 0)

@@ -465,6 +465,21 @@ def test_language_spans_and_scores(spark):
     assert {r.held_out for r in language_id.language_report(df).collect()} == {True, False}
 
 
+def test_letters_are_those_of_unicode(spark):
+    letters = ["ܫܠܡܐ", "ދިވެހި", "ߒߞߏ", "Հայ", "ｆｕｌｌ", "ｶﾅ", "ﷲ", "𐌰𐌱", "ʼʰ", "ⴰⴱ", "é", "ª"]
+    none = ["× ÷", "。、「」", "123 !!", "€ – …", "😀"]
+    rows = [(i, x, None) for i, x in enumerate(letters + none)] + [(100 + i, "the other weather", "en") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language_id.language_report(df).where("doc_id < 100").collect()}
+    assert [got[i] != "und" for i in range(len(letters) + len(none))] == [True] * len(letters) + [False] * len(none)
+    text = "aé× 𐌰ß。x"
+    data, places = text.encode(), []
+    for i, c in enumerate(text):
+        if c.isalpha():
+            places.append(len(text[:i].encode()))
+    assert language_id.letter_places(np.frombuffer(data, np.uint8)).tolist() == places
+
+
 def test_the_shortcut_is_the_best_path():
     class Fixed:
         def words(self, data, start, stop):
