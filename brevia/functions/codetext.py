@@ -9,16 +9,19 @@ import ast
 import re
 from dataclasses import dataclass
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 # Marks that speak for a language.
 HINTS = {
-    "python": ("def ", "import ", "from ", "class ", "self.", "elif ", "__init__"),
-    "javascript": ("function ", "const ", "let ", "=> {", "require(", "module.exports"),
-    "typescript": ("interface ", ": string", ": number", "export type ", "readonly ", "implements "),
-    "go": ("func ", "package ", ":= ", "import (", "chan ", "defer "),
-    "rust": ("fn ", "impl ", "let mut ", "pub fn ", "use std", "match "),
-    "java": ("public class ", "private ", "public static ", "import java", "@Override", "extends "),
-    "c": ("#include ", "int main(", "printf(", "typedef struct", "malloc("),
-    "cpp": ("std::", "#include <", "template<", "namespace ", "cout <<"),
+    "python": ("def ", "import ", "class ", "from ", "self."),
+    "javascript": ("function ", "const ", "let ", "var ", "=>"),
+    "typescript": ("interface ", "type ", ": string", ": number", "export "),
+    "go": ("func ", "package ", "go ", ":= "),
+    "rust": ("fn ", "let mut", "pub fn", "use ", "impl "),
+    "java": ("public class", "void ", "private ", "public "),
+    "c": ("#include", "int main(", "void ", "sizeof("),
+    "cpp": ("namespace ", "class ", "::", "std::", "cout"),
 }
 LEAST_TOKENS = 100
 
@@ -43,8 +46,19 @@ def language(text: str) -> str:
     return best if counts[best] else "unknown"
 
 
+def language_column(text: Column) -> Column:
+    """``language`` as an expression: occurrences by lengths, the most, the first of equals."""
+
+    def count(hint: str) -> Column:
+        return F.floor((F.length(text) - F.length(F.replace(text, F.lit(hint), F.lit("")))) / len(hint))
+
+    rows = [F.struct(sum((count(h) for h in hints), F.lit(0)).alias("n"), F.lit(-i).alias("rank"), F.lit(name).alias("language")) for i, (name, hints) in enumerate(HINTS.items())]
+    best = F.array_max(F.array(*rows))
+    return F.when(best["n"] > 0, best["language"]).otherwise("unknown")
+
+
 def can_handle(text: str) -> bool:
-    return language(text) != "unknown"
+    return bool(text.strip()) and language(text) != "unknown"
 
 
 def _python(text: str) -> tuple[str, int]:

@@ -12,7 +12,9 @@ import numpy as np
 from .importance import category
 from .sizing import adaptive_k
 
-HIT = re.compile(r"^((?:[A-Za-z]:[\\/])?(?:[^:-]|[:-](?![0-9]+[:-])|(?<=[:-])[:-])*?)(?<![:-])[:-](?![:-])([0-9]+)[:-](.*)$", re.S)
+#: A line number between two separators, the first of which follows no other separator. A search tries each place once.
+NUMBER = r"(?<![:-])[:-]([0-9]+)[:-]"
+_NUMBER = re.compile(NUMBER)
 
 
 @dataclass(frozen=True)
@@ -39,8 +41,13 @@ class HitResult:
 
 
 def parse(line: str) -> tuple[str, int, str] | None:
-    m = HIT.match(line.strip())
-    return (m[1], int(m[2]), m[3]) if m and m[1] else None
+    """(file, line number, content) by the first number between separators; None without one or without a file before it.
+
+    The colon of a drive letter is followed by a slash, so it is never such a place.
+    """
+    line = line.strip()
+    m = _NUMBER.search(line)
+    return (line[: m.start()], int(m[1]), line[m.end() :]) if m and m.start() else None
 
 
 def score(content: str, words: list[str], rules: HitRules) -> float:

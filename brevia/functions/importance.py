@@ -57,8 +57,7 @@ def signal(line: Column, context: str = "text", keywords: Keywords | None = None
 
     def place(name: str) -> Column:
         """Where the first keyword of a category starts."""
-        before = F.regexp_extract(line, "(?s)^(.*?)" + f"(?:{words.pattern(name)})", 1)
-        return F.when(line.rlike(words.pattern(name)), F.length(before))
+        return F.nullif(F.regexp_instr(line, F.lit(words.pattern(name))), F.lit(0))
 
     error, important = place("error"), place("importance")
     out = F.when(error.isNotNull() & (important.isNull() | (error <= important)), row("error")).when(important.isNotNull(), row("importance"))

@@ -10,7 +10,6 @@ import hashlib
 import math
 import re
 import zlib
-from functools import lru_cache
 
 import numpy as np
 
@@ -22,27 +21,62 @@ ZLIB_TOLERANCE, ZLIB_LEAST, ZLIB_GROWTH = 0.15, 200, 1.2
 _SPACE = re.compile(r"[ \t\n\r]+")
 
 
-@lru_cache(maxsize=65536)
-def _gram_bits(gram: str) -> np.ndarray:
-    digest = hashlib.md5(gram.encode()).digest()[:8]
-    return np.unpackbits(np.frombuffer(digest, np.uint8)[::-1], bitorder="little").astype(np.int32) * 2 - 1
+class _Grams:
+    """Bits of the hashes of 4-grams met so far, as rows of one matrix; emptied when it is full."""
+
+    MOST = 1 << 18
+
+    def __init__(self) -> None:
+        self.row: dict[str, int] = {}
+        self.bits = np.zeros((1024, 64), np.int8)
+
+    def rows(self, grams: list[str]) -> list[int]:
+        if len(self.row) + len(grams) > self.MOST and self.row:
+            self.row = {}
+        row = self.row
+        for g in set(grams).difference(row):
+            at = row[g] = len(row)
+            if at == len(self.bits):
+                self.bits = np.concatenate([self.bits, np.zeros_like(self.bits)])
+            digest = hashlib.md5(g.encode()).digest()[:8]
+            self.bits[at] = np.unpackbits(np.frombuffer(digest, np.uint8)[::-1], bitorder="little").view(np.int8) * 2 - 1
+        return [row[g] for g in grams]
+
+
+_grams = _Grams()
+#: 4-grams of a text summed at once.
+_PART = 1 << 14
 
 
 def simhash(text: str) -> int:
     """64-bit SimHash over the MD5 of lower-case 4-grams (the whole text if it is shorter)."""
     low = text.lower()
-    votes = sum(_gram_bits(low[i : i + 4]) for i in range(max(1, len(low) - 3)))
+    n = max(1, len(low) - 3)
+    votes = np.zeros(64, np.int64)
+    for lo in range(0, n, _PART):
+        at = _grams.rows([low[i : i + 4] for i in range(lo, min(n, lo + _PART))])
+        votes += _grams.bits[at].sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(votes > 0, bitorder="little").tobytes(), "little")
 
 
 def clusters(items: list[str], radius: int = SAME) -> int:
-    """Greedy clusters: an item joins the first representative within the radius, else becomes one."""
-    reps = np.zeros(0, np.uint64)
+    """Greedy clusters: an item joins the first representative within the radius, else becomes one.
+
+    Representatives are looked up by the blocks of their fingerprint: of radius + 1 blocks one is equal within the radius.
+    """
+    parts = radius + 1
+    width = -(-64 // parts)
+    seen: list[dict[int, list[int]]] = [{} for _ in range(parts)]
+    n = 0
     for item in dict.fromkeys(items):
-        f = np.uint64(simhash(item))
-        if not len(reps) or int(np.bitwise_count(reps ^ f).min()) > radius:
-            reps = np.append(reps, f)
-    return len(reps)
+        f = simhash(item)
+        own = [f >> (width * b) & ((1 << width) - 1) for b in range(parts)]
+        if any((r ^ f).bit_count() <= radius for d, v in zip(seen, own) for r in d.get(v, ())):
+            continue
+        n += 1
+        for d, v in zip(seen, own):
+            d.setdefault(v, []).append(f)
+    return n
 
 
 def pair_curve(items: list[str]) -> list[int]:

@@ -27,57 +27,55 @@ def json_confidence(text: Column) -> Column:
     return F.when(kind.startswith("ARRAY<OBJECT"), 1.0).when(kind.startswith("ARRAY<"), 0.8)
 
 
-def diff_counts(text: Column) -> tuple[Column, Column]:
-    lines = X.first_lines(text, 500)
-    return X.count_lines(lines, P.DIFF_HEADER), X.count_lines(lines, P.DIFF_CHANGE)
-
-
-def diff_confidence(text: Column) -> Column:
-    headers, changes = diff_counts(text)
+def diff_confidence(lines: Column) -> Column:
+    """Of the first 500 lines."""
+    headers, changes = X.count_lines(lines, P.DIFF_HEADER), X.count_lines(lines, P.DIFF_CHANGE)
     return F.when(headers > 0, F.least(F.lit(0.5) + headers * 0.2 + changes * 0.05, F.lit(1.0)))
 
 
-def html_confidence(text: Column) -> Column:
-    sample = F.substring(text.cast("binary"), 1, 3000).cast("string")
+def html_confidence(sample: Column) -> Column:
+    """Of the first 3000 bytes; text without a '<' costs no tag search."""
     tag = lambda name: sample.rlike(rf"(?i)<{name}[ \t>\n/]")
     doctype = sample.rlike(P.DOCTYPE)
     n = F.size(F.regexp_extract_all(sample, F.lit(r"(?i)<(" + "|".join(P.HTML_TAGS) + r")[ \t>\n/]"), F.lit(0)))
     points = lambda c, v: F.when(c, v).otherwise(0.0)
     total = F.least(points(doctype, 0.5) + points(tag("html"), 0.3) + points(tag("head"), 0.1) + points(tag("body"), 0.1) + F.least(n * 0.03, F.lit(0.3)), F.lit(1.0))
-    return F.when((doctype | tag("html") | (n >= 3)) & (total >= 0.5), total)
+    return F.when(sample.contains("<") & (doctype | tag("html") | (n >= 3)) & (total >= 0.5), total)
 
 
-def _filled(text: Column, n: int) -> Column:
-    return F.filter(X.first_lines(text, n), lambda x: ~X.is_blank(x))
+def _filled(lines: Column, n: int) -> Column:
+    return F.filter(F.slice(lines, 1, n), lambda x: ~X.is_blank(x))
 
 
-def search_confidence(text: Column) -> Column:
-    lines = _filled(text, 100)
+def search_confidence(lines: Column) -> Column:
+    """Of the filled ones of the first 100 lines."""
     ratio = X.count_lines(lines, P.SEARCH_HIT) / F.size(lines)
     return F.when((F.size(lines) > 0) & (ratio >= 0.3), F.least(F.lit(0.4) + ratio * 0.6, F.lit(1.0)))
 
 
-def log_confidence(text: Column) -> Column:
-    lines = _filled(text, 200)
-    errors = X.count_lines(lines, P.LOG_ERROR)
-    matched = X.count_lines(lines, f"({P.LOG_ERROR})|{P.LOG_OTHER}")
-    ratio = matched / F.size(lines)
-    return F.when((F.size(lines) > 0) & (ratio >= 0.1), F.least(F.lit(0.3) + ratio * 0.5 + errors * 0.05, F.lit(1.0)))
+def log_marks(lines: Column) -> Column:
+    """Of each of the filled ones of the first 200 lines: 2 with an error mark, 1 with another mark of logs, else 0."""
+    return F.transform(lines, lambda x: F.when(x.rlike(P.LOG_ERROR), 2).when(x.rlike(P.LOG_OTHER), 1).otherwise(0))
+
 
+def log_confidence(marks: Column) -> Column:
+    errors, matched = F.size(F.filter(marks, lambda m: m == 2)), F.size(F.filter(marks, lambda m: m > 0))
+    ratio = matched / F.size(marks)
+    return F.when((F.size(marks) > 0) & (ratio >= 0.1), F.least(F.lit(0.3) + ratio * 0.5 + errors * 0.05, F.lit(1.0)))
 
-def code_best(text: Column) -> Column:
-    """(score, -line of the first match, -rank, language) of the best language."""
-    lines = _filled(text, 100)
+
+def code_best(lines: Column) -> Column:
+    """(score, -line of the first match, -rank, language) of the best language in the filled ones of the first 100 lines."""
     rows = []
     for i, (name, p) in enumerate(P.LANGUAGES.items()):
-        hit = F.transform(lines, X.matcher(p))
-        rows.append(F.struct(F.size(F.filter(hit, lambda h: h)).alias("score"), (-F.array_position(hit, F.lit(True))).alias("first"), F.lit(-i).alias("rank"), F.lit(name).alias("language")))
+        rows.append(F.struct(X.count_lines(lines, p).alias("score"), (-F.array_position(F.transform(lines, X.matcher(p)), F.lit(True))).alias("first"), F.lit(-i).alias("rank"), F.lit(name).alias("language")))
     return F.array_max(F.array(*rows))
 
 
-def code_confidence(text: Column) -> Column:
-    best = code_best(text)["score"]
-    ratio = best / F.greatest(F.size(_filled(text, 100)), F.lit(1))
+def code_confidence(lines: Column) -> Column:
+    """By the language with most matching lines; which of equals it is does not matter here."""
+    best = F.greatest(*(X.count_lines(lines, p) for p in P.LANGUAGES.values()))
+    ratio = best / F.greatest(F.size(lines), F.lit(1))
     return F.when(best >= 3, F.least(F.lit(0.4) + ratio * 0.4 + best * 0.02, F.lit(1.0)))
 
 
@@ -127,25 +125,60 @@ def scan_array(text: str) -> float | None:
     return None
 
 
-def detected(text: Column, tolerant: bool = False) -> Column:
-    """STRUCT<content_type, confidence> of a block."""
-
+#: Bounds of the cascade, in its order.
+CASCADE = (("diff", 0.7), ("html", 0.7), ("search", 0.6), ("build", 0.5), ("source_code", 0.5))
+
+
+def _layers(tolerant: bool) -> list[dict]:
+    """Columns of the cascade from a column ``_t``, layer by layer.
+
+    Each is its own projection and is used more than once by the next, so that the optimizer keeps it apart: lines
+    are split once, and a confidence is computed once and only where nothing before it decided.
+    """
+    c = F.col
+    first = [
+        {"_t": F.when(~X.is_blank(c("_t")), c("_t"))},
+        {"_json": tolerant_json(F.when(F.ltrim(c("_t")).startswith("["), c("_t"))) if tolerant else json_confidence(c("_t"))},
+        {"_open": c("_t").isNotNull() & c("_json").isNull(), "_l500": F.when(c("_json").isNull(), X.first_lines(c("_t"), 500))},
+        {"_l100": _filled(c("_l500"), 100), "_l200": _filled(c("_l500"), 200)},
+    ]
+    find = {
+        "diff": lambda: diff_confidence(c("_l500")), "html": lambda: html_confidence(c("_sample")),
+        "search": lambda: search_confidence(c("_l100")), "build": lambda: log_confidence(c("_marks")), "source_code": lambda: code_confidence(c("_l100")),
+    }
+    out, still = first, c("_open")
+    for kind, least in CASCADE:
+        if kind == "html":
+            out.append({"_sample": F.when(still, F.substring(c("_t").cast("binary"), 1, 3000).cast("string"))})
+        if kind == "build":
+            out.append({"_marks": F.when(still, log_marks(c("_l200")))})
+        out.append({f"_{kind}": F.when(still, find[kind]())})
+        still = still & (F.coalesce(c(f"_{kind}"), F.lit(0.0)) < least)
+    return out
+
+
+def _verdict() -> Column:
     def row(kind: str, confidence: Column) -> Column:
         return F.struct(F.lit(kind).alias("content_type"), confidence.cast("double").alias("confidence"))
 
-    arrays = tolerant_json(F.when(F.ltrim(text).startswith("["), text)) if tolerant else json_confidence(text)
-    cases = F.when(text.isNull() | X.is_blank(text), row("text", F.lit(0.0))).when(arrays.isNotNull(), row("json_array", arrays))
-    for kind, confidence, least in (
-        ("diff", diff_confidence, 0.7), ("html", html_confidence, 0.7), ("search", search_confidence, 0.6), ("build", log_confidence, 0.5), ("source_code", code_confidence, 0.5),
-    ):
-        c = confidence(text)
-        cases = cases.when(c >= least, row(kind, c))
+    cases = F.when(F.col("_t").isNull(), row("text", F.lit(0.0))).when(F.col("_json").isNotNull(), row("json_array", F.col("_json")))
+    for kind, least in CASCADE:
+        cases = cases.when(F.col(f"_{kind}") >= least, row(kind, F.col(f"_{kind}")))
     return cases.otherwise(row("text", F.lit(0.5)))
 
 
+def detected(blocks: DataFrame, text: Column, out: str, tolerant: bool = False) -> DataFrame:
+    """blocks with STRUCT<content_type, confidence> ``out`` of a text column."""
+    rows = blocks.select(F.struct(*(F.col(f"`{c}`") for c in blocks.columns)).alias("_row"), text.alias("_t"))
+    for layer in _layers(tolerant):
+        rows = rows.withColumns(layer)
+    return rows.select("_row.*", _verdict().alias(out))
+
+
 def classify(blocks: DataFrame, text_col: str = "text", tolerant: bool = False) -> DataFrame:
     """blocks with content_type and confidence."""
-    return blocks.withColumn("_found", detected(F.col(text_col), tolerant)).select(*blocks.columns, "_found.content_type", "_found.confidence")
+    names = [c for c in blocks.columns if c not in ("content_type", "confidence")]
+    return detected(blocks.select(*(F.col(f"`{c}`") for c in names)), F.col(f"`{text_col}`"), "_found", tolerant).select(*(F.col(f"`{c}`") for c in names), "_found.content_type", "_found.confidence")
 
 
 def is_array_of_objects(text: Column) -> Column:
@@ -154,10 +187,13 @@ def is_array_of_objects(text: Column) -> Column:
 
 # Labels of a file-type model by content type.
 MODEL_LABELS = {
-    "source_code": "python javascript typescript java c cpp cs go rust ruby php swift kotlin scala shell powershell perl lua r sql dart haskell elixir clojure erlang julia matlab asm".split(),
-    "json_array": ["json", "jsonl"],
-    "diff": ["diff", "patch"],
-    "html": ["html", "xml"],
+    "json_array": ("json", "jsonl"),
+    "diff": ("diff",),
+    "html": ("html", "xml"),
+    "source_code": (
+        "rust", "python", "javascript", "typescript", "go", "java", "c", "cpp", "cs", "php", "ruby", "swift", "kotlin", "scala", "haskell", "lua", "dart", "perl", "shell", "powershell",
+        "batch", "sql", "css", "vue", "groovy", "clojure", "asm", "cmake", "dockerfile", "makefile", "yaml", "toml", "ini", "hcl", "jinja", "r", "scss", "less", "gradle", "maven",
+    ),
 }
 
 
@@ -165,7 +201,7 @@ def from_model_label(label: Column) -> Column:
     """Content type of a file-type model's label; text where it is unknown."""
     out = F.when(F.lit(False), F.lit(None))
     for kind, names in MODEL_LABELS.items():
-        out = out.when(F.lower(label).isin(*names), F.lit(kind))
+        out = out.when(label.isin(*names), F.lit(kind))
     return out.otherwise("text")
 
 
@@ -191,13 +227,18 @@ def unified_diff(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
-def tiered(text: Column, model_type: Column | None = None, is_diff: Column | None = None) -> Column:
-    """STRUCT<content_type, confidence, tier>: a model's verdict (0.9), then a unified diff (0.95), then the cascade."""
-    found = detected(text)
-    rules = F.struct(found["content_type"].alias("content_type"), found["confidence"].alias("confidence"), F.lit(3).alias("tier"))
-    out = F.when(X.is_blank(text), F.struct(F.lit("text").alias("content_type"), F.lit(0.0).alias("confidence"), F.lit(3).alias("tier")))
+def tiered(blocks: DataFrame, text: Column, model_type: Column | None = None, is_diff: Column | None = None, out: str = "found") -> DataFrame:
+    """blocks with STRUCT<content_type, confidence, tier> ``out``: a model's verdict (0.9), then a unified diff (0.95), then the cascade."""
+
+    def row(kind: Column, confidence: Column, tier: int) -> Column:
+        return F.struct(kind.alias("content_type"), confidence.cast("double").alias("confidence"), F.lit(tier).alias("tier"))
+
+    verdict = F.when(X.is_blank(text), row(F.lit("text"), F.lit(0.0), 3))
     if model_type is not None:
-        out = out.when(model_type.isNotNull() & (model_type != "text"), F.struct(model_type.alias("content_type"), F.lit(0.9).alias("confidence"), F.lit(1).alias("tier")))
+        verdict = verdict.when(model_type.isNotNull() & (model_type != "text"), row(model_type, F.lit(0.9), 1))
     if is_diff is not None:
-        out = out.when(is_diff, F.struct(F.lit("diff").alias("content_type"), F.lit(0.95).alias("confidence"), F.lit(2).alias("tier")))
-    return out.otherwise(rules)
+        verdict = verdict.when(is_diff, row(F.lit("diff"), F.lit(0.95), 2))
+    # the cascade runs where neither decided
+    above = blocks.withColumn("_above", verdict)
+    rows = detected(above, F.when(F.col("_above").isNull(), text), "_rules")
+    return rows.withColumn(out, F.coalesce("_above", row(F.col("_rules.content_type"), F.col("_rules.confidence"), 3))).drop("_above", "_rules")

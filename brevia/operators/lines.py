@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as X
+from ..functions.hits import NUMBER
 
 
 def lines(blocks: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -117,10 +118,11 @@ def trimmed_context(rows: DataFrame, around: int = 2, key: str = "doc_id") -> Da
 
 
 def search_hits(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, file, line_number, content, line_no) of the lines of the form file:number:content."""
-    hit = r"^([^:\s][^:]*):([0-9]+):(.*)$"
-    line = F.trim(F.col("line"))
-    return rows.where(line.rlike(hit)).select(key, "line_no", F.regexp_extract(line, hit, 1).alias("file"), F.regexp_extract(line, hit, 2).cast("long").alias("line_number"), F.regexp_extract(line, hit, 3).alias("content"))
+    """(key, file, line_number, content, line_no) of hits; the grammar is that of ``hits.parse``."""
+    hit = rf"(?s)^(.*?){NUMBER}(.*)$"
+    line = F.regexp_replace("line", r"^\s+|\s+$", "")
+    part = lambda i: F.regexp_extract(line, hit, i)
+    return rows.select(key, "line_no", part(1).alias("file"), part(2).cast("decimal(38,0)").alias("line_number"), part(3).alias("content")).where("file <> ''").withColumn("line_number", F.col("line_number").cast("long"))
 
 
 def budgeted(hits: DataFrame, k: int, per_file: int = 5, files: int = 15, key: str = "doc_id") -> DataFrame:

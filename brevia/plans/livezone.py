@@ -212,14 +212,16 @@ def shortened(text: Column, kind: Column, model: Column, store: bool = False) ->
 
 def manifest(requests: DataFrame, store: bool = False) -> DataFrame:
     """One row per part: action (excluded, passthrough, compressed, none, error), strategy, tokens, new text, key."""
-    found = parts(requests)
-    typed = detect.classify(found.where("action = 'candidate'"))
-    done = typed.withColumn("r", shortened(F.col("text"), F.col("content_type"), F.col("model"), store)).select(
-        "request_id", "part", "path", "idx", F.when(F.col("r.compressed").isNotNull(), "compressed").otherwise("passthrough").alias("action"), F.lit(None).cast("string").alias("reason"),
-        "r.strategy", "r.original_tokens", "r.compressed_tokens", "r.compressed", F.when(F.col("r.key").isNotNull(), F.col("text")).alias("payload"), "r.key",
+    # one pass over the bodies: settled parts have no text, so that nothing looks at them
+    typed = detect.classify(parts(requests))
+    done = typed.withColumn("r", shortened(F.col("text"), F.col("content_type"), F.col("model"), store))
+    open_part = F.col("action") == "candidate"
+    won = F.when(F.col("r.compressed").isNotNull(), "compressed").otherwise("passthrough")
+    only = lambda c: F.when(open_part, c)
+    return done.select(
+        "request_id", "part", "path", "idx", F.when(open_part, won).otherwise(F.col("action")).alias("action"), "reason", "r.strategy",
+        only(F.col("r.original_tokens")).alias("original_tokens"), only(F.col("r.compressed_tokens")).alias("compressed_tokens"), "r.compressed", F.when(F.col("r.key").isNotNull(), F.col("text")).alias("payload"), "r.key",
     )
-    other = found.where("action <> 'candidate'").select("request_id", "part", "path", "idx", "action", "reason", *(F.lit(None).cast(t).alias(c) for c, t in (("strategy", "string"), ("original_tokens", "int"), ("compressed_tokens", "int"), ("compressed", "string"), ("payload", "string"), ("key", "string"))))
-    return done.unionByName(other)
 
 
 @F.udf(returnType=T.StringType(), useArrow=True)

@@ -226,20 +226,23 @@ def detect_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hit_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(block, text): lines of documents as hits file:number:content, one block per language."""
-    rows = lines.lines(table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text", "lang", "source"), "doc_id")
-    named = rows.join(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id").where("trim(line) <> ''")
-    hit = F.concat_ws(":", F.concat("source", F.lit("/d"), F.col("doc_id").cast("string"), F.lit(".txt")), (F.col("line_no") + 1).cast("string"), "line")
-    grouped = named.select("lang", F.struct("doc_id", "line_no", hit.alias("hit")).alias("h")).groupBy("lang").agg(F.array_sort(F.collect_list("h")).alias("h"))
-    return grouped.select(F.col("lang").alias("block"), F.array_join(F.transform("h", lambda x: x["hit"]), "\n").alias("text"))
+    """(block, lang, text): lines of documents as hits file:number:content, one block per document."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    file = F.concat("source", F.lit("/d"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    hits = d.select("doc_id", "lang", file.alias("file"), F.split("text", "\n").alias("l"))
+    # blank lines are no hits; numbers are those of all lines
+    numbered = F.transform("l", lambda x, i: F.when(F.trim(x) != "", F.concat_ws(":", F.col("file"), (i + 1).cast("string"), x)))
+    return hits.select(F.col("doc_id").alias("block"), "lang", F.array_join(numbered, "\n").alias("text"))
 
 
 @query(f"""WITH {LINES_SQL}, h AS (SELECT x.source AS file, x.doc_id, x.line_no + 1 AS n FROM x WHERE trim(line) <> '')
 SELECT file, count(*) AS hits, least(count(*), 5) AS kept, CASE WHEN count(*) > 5 THEN '[... and ' || (count(*) - 5) || ' more matches in ' || file || ']' END AS note FROM h GROUP BY 1""")
 def search_file_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lines.lines(table(spark, sf_dir, "documents").where("text IS NOT NULL")).where("trim(line) <> ''").join(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("file")), "doc_id")
-    n = F.count("*")
-    return rows.groupBy("file").agg(n.alias("hits")).select("file", "hits", F.least("hits", F.lit(5)).cast("long").alias("kept"), F.when(F.col("hits") > 5, F.concat(F.lit("[... and "), (F.col("hits") - 5).cast("string"), F.lit(" more matches in "), "file", F.lit("]"))).alias("note"))
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    filled = F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).cast("long")
+    rows = d.select(F.col("source").alias("file"), filled.alias("n")).where("n > 0")
+    hits = F.col("hits")
+    return rows.groupBy("file").agg(F.sum("n").alias("hits")).select("file", "hits", F.least(hits, F.lit(5)).cast("long").alias("kept"), F.when(hits > 5, F.concat(F.lit("[... and "), (hits - 5).cast("string"), F.lit(" more matches in "), "file", F.lit("]"))).alias("note"))
 
 
 # records and fields
@@ -386,28 +389,6 @@ def knee_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 # relevance
 
 
-@query(f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), {q(P.TERM)})) AS term FROM documents),
-d AS (SELECT doc_id, len(regexp_extract_all(lower(text), {q(P.TERM)})) AS len FROM documents), a AS (SELECT avg(len) AS avgdl FROM d),
-tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2), qf AS (SELECT item_id AS query_id, term, count(*) AS qf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), {q(P.TERM)})) AS term FROM benchmark WHERE item_id < 10) GROUP BY 1, 2),
-s AS (SELECT tf.doc_id, query_id, sum(ln(2) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl)) * qf) AS raw, bool_or(octet_length(encode(tf.term)) >= 8) AS l, count(*) AS n_matched FROM tf JOIN qf ON qf.term = tf.term JOIN d ON d.doc_id = tf.doc_id, a GROUP BY 1, 2),
-r AS (SELECT doc_id, query_id, round(CASE WHEN l THEN least(least(raw / 10, 1.0) + 0.3, 1.0) ELSE least(raw / 10, 1.0) END, 6) AS score, n_matched FROM s)
-SELECT doc_id, query_id, score, n_matched FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, n_matched DESC, doc_id) AS n FROM r) WHERE n <= 10""")
-def bm25_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Top ten documents for ten queries (the benchmark's first items)."""
-    queries = table(spark, sf_dir, "benchmark").where("item_id < 10").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    scored = relevance.bm25(table(spark, sf_dir, "documents"), queries).select("doc_id", "query_id", F.round("score", 6).alias("score"), F.size("matched").cast("long").alias("n_matched"))
-    return items.top_n(scored, 10, "query_id", [F.desc("score"), F.desc("n_matched"), "doc_id"])
-
-
-@query("""WITH c AS (SELECT label, list_transform(range(1, 65), lambda i: 0.0) AS z FROM embeddings LIMIT 0), q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0)
-SELECT vec_id, label, round(greatest(list_cosine_similarity(embedding::double[], q::double[]), 0.0), 5) AS score FROM embeddings, q""")
-def cosine_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similarity of every vector to the first one."""
-    e = table(spark, sf_dir, "embeddings")
-    one = e.where("vec_id = 0").select(F.col("embedding").alias("q"))
-    return e.crossJoin(F.broadcast(one)).select("vec_id", "label", F.round(relevance.cosine(F.col("embedding"), F.col("q")), 5).alias("score"))
-
-
 @query(f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), {q(P.TERM)})) AS term FROM documents),
 d AS (SELECT doc_id, len(regexp_extract_all(lower(text), {q(P.TERM)})) AS len FROM documents), a AS (SELECT avg(len) AS avgdl FROM d),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2), qf AS (SELECT item_id AS query_id, term, count(*) AS qf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), {q(P.TERM)})) AS term FROM benchmark) GROUP BY 1, 2),
@@ -415,7 +396,7 @@ s AS (SELECT tf.doc_id, query_id, sum(ln(2) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.7
 r AS (SELECT doc_id, query_id, round(CASE WHEN l THEN least(least(raw / 10, 1.0) + 0.3, 1.0) ELSE least(raw / 10, 1.0) END, 6) AS score, n_matched FROM s)
 SELECT doc_id, query_id, score, n_matched FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, n_matched DESC, doc_id) AS n FROM r) WHERE n <= 10""")
 def bm25_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Top ten documents for every item of the benchmark; bm25_documents has the first ten items, as its SQL does."""
+    """Top ten documents for every item of the benchmark."""
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     scored = relevance.bm25(table(spark, sf_dir, "documents"), queries).select("doc_id", "query_id", F.round("score", 6).alias("score"), F.size("matched").cast("long").alias("n_matched"))
     return items.top_n(scored, 10, "query_id", [F.desc("score"), F.desc("n_matched"), "doc_id"])
@@ -424,11 +405,10 @@ def bm25_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, round(greatest(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 0.0), 5) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)
 SELECT vec_id, label, query_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s) WHERE n <= 10""")
 def cosine_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten nearest vectors of every vector whose id is divisible by 100; cosine_embeddings has the first vector alone, as its SQL does."""
+    """The ten nearest vectors of every vector whose id is divisible by 100."""
     e = table(spark, sf_dir, "embeddings")
-    ask = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    scored = e.crossJoin(ask).select("vec_id", "label", "query_id", F.round(relevance.cosine(F.col("embedding"), F.col("q")), 5).alias("score"))
-    return items.top_n(scored, 10, "query_id", [F.desc("score"), "vec_id"])
+    ask = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return relevance.nearest(e, ask, 10).select("vec_id", "label", "query_id", "score")
 
 
 # conversations, policy, stores
@@ -455,17 +435,9 @@ def ttl_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.ttl_violations(m, "conv_id")
 
 
-@query("""WITH h AS (SELECT conv_id, turn, substr(sha256(left(text, 20)), 1, 16) AS prefix_hash FROM conversations WHERE text IS NOT NULL)
-SELECT conv_id, turn, prefix_hash, lag(prefix_hash) OVER w AS previous_hash, coalesce(lag(prefix_hash) OVER w <> prefix_hash, false) AS prefix_changed FROM h WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
-def prefix_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").where("text IS NOT NULL")
-    return policy.prefix_drift(c, F.left("text", F.lit(20)), "conv_id", "turn").select("conv_id", "turn", "prefix_hash", "previous_hash", "prefix_changed")
-
-
 @query("""WITH h AS (SELECT conv_id, turn, substr(sha256(text), 1, 16) AS prefix_hash FROM conversations WHERE text IS NOT NULL)
 SELECT conv_id, turn, prefix_hash, lag(prefix_hash) OVER w AS previous_hash, coalesce(lag(prefix_hash) OVER w <> prefix_hash, false) AS prefix_changed FROM h WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
 def prefix_drift_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Drift of whole texts; prefix_drift hashes their first 20 characters, as its SQL does."""
     c = table(spark, sf_dir, "conversations").where("text IS NOT NULL")
     return policy.prefix_drift(c, F.col("text"), "conv_id", "turn").select("conv_id", "turn", "prefix_hash", "previous_hash", "prefix_changed")
 
@@ -512,12 +484,14 @@ def log_compress_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def search_compress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hit_blocks(spark, sf_dir).withColumn("r", compress.search(F.col("text"))).select("block", "r.compressed", "r.hits_in", "r.hits_out", "r.files")
+    return hit_blocks(spark, sf_dir).withColumn("r", compress.search(F.col("text"))).select("block", "lang", "r.compressed", "r.hits_in", "r.hits_out", "r.files")
 
 
 @query("SELECT lang AS block, count(*)::int AS hits_in FROM (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL) WHERE trim(line) <> '' GROUP BY 1")
 def search_compress_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search_compress(spark, sf_dir).select("block", "hits_in")
+    """Hits that the compressor read, by language."""
+    counts = search_compress(spark, sf_dir).where("hits_in > 0").groupBy(F.col("lang").alias("block"))
+    return counts.agg(F.sum("hits_in").cast("int").alias("hits_in"))
 
 
 def order_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:

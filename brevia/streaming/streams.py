@@ -55,8 +55,8 @@ def store_states(puts: DataFrame, ttl_seconds: int = 300, key: str = "hash") ->
 
 
 def prefix_changes(rows: DataFrame, key: str, text: Column, order: str) -> DataFrame:
-    """(key, prefix_hash, previous_hash, prefix_changed) of a stream; the last hash of each key is its state."""
-    hashed = rows.select(F.col(key).cast("string").alias("key"), F.left(F.sha2(text, 256), F.lit(16)).alias("prefix_hash"), F.col(order).cast("string").alias("pos"))
+    """(key, pos, prefix_hash, previous_hash, prefix_changed) of a stream; the last hash of each key is its state. Positions keep the type, and so the order, of ``order``."""
+    hashed = rows.select(F.col(key).cast("string").alias("key"), F.left(F.sha2(text, 256), F.lit(16)).alias("prefix_hash"), F.col(order).alias("pos"))
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         part = pd.concat(list(batches)).sort_values("pos")
@@ -65,7 +65,7 @@ def prefix_changes(rows: DataFrame, key: str, text: Column, order: str) -> DataF
         changed = [b is not None and b != h for b, h in zip(before, part["prefix_hash"])]
         yield pd.DataFrame({"key": part["key"], "pos": part["pos"], "prefix_hash": part["prefix_hash"], "previous_hash": before, "prefix_changed": changed})
 
-    return hashed.groupBy("key").applyInPandasWithState(run, "key string, pos string, prefix_hash string, previous_hash string, prefix_changed boolean", "last string", "append", GroupStateTimeout.NoTimeout)
+    return hashed.groupBy("key").applyInPandasWithState(run, f"key string, pos {dict(hashed.dtypes)['pos']}, prefix_hash string, previous_hash string, prefix_changed boolean", "last string", "append", GroupStateTimeout.NoTimeout)
 
 
 def into_store(stream: DataFrame, store, checkpoint: str):
