@@ -2,7 +2,8 @@
 
 Each function takes columns and gives a struct column. Kernels see one block at a time; their memory is that of
 one Arrow batch. Blocks that a compressor does not apply to should be filtered out or passed as null before:
-Python functions are barriers for predicates.
+Python functions are barriers for predicates. They are declared not deterministic, so that a filter on their
+result is not pushed below them, which would run them twice.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ def logs(text: Column, bias: float = 1.0, rules: LogRules = LogRules(), store: b
 
         return _rows(text, one, columns)
 
-    return run(text)
+    return run.asNondeterministic()(text)
 
 
 def trace_lines(lines: Column, most: int = 20) -> Column:
@@ -45,7 +46,7 @@ def trace_lines(lines: Column, most: int = 20) -> Column:
     def run(lines: pd.Series) -> pd.Series:
         return lines.map(lambda x: loglines.trace_flags(list(x), most), na_action="ignore")
 
-    return run(lines)
+    return run.asNondeterministic()(lines)
 
 
 def diffs(text: Column, query: str = "", rules: DiffRules = DiffRules()) -> Column:
@@ -55,7 +56,7 @@ def diffs(text: Column, query: str = "", rules: DiffRules = DiffRules()) -> Colu
     def run(text: pd.Series) -> pd.DataFrame:
         return _rows(text, lambda t: (lambda d: d | {"compressed": d.pop("text")})(asdict(difftext.compress(t, query, rules))), columns)
 
-    return run(text)
+    return run.asNondeterministic()(text)
 
 
 def diff_noise(text: Column) -> Column:
@@ -63,7 +64,7 @@ def diff_noise(text: Column) -> Column:
     def run(text: pd.Series) -> pd.Series:
         return text.map(difftext.drop_noise, na_action="ignore")
 
-    return run(text)
+    return run.asNondeterministic()(text)
 
 
 def search(text: Column, query: str = "", bias: float = 1.0, rules: HitRules = HitRules()) -> Column:
@@ -73,7 +74,7 @@ def search(text: Column, query: str = "", bias: float = 1.0, rules: HitRules = H
     def run(text: pd.Series) -> pd.DataFrame:
         return _rows(text, lambda t: (lambda d: d | {"compressed": d.pop("text")})(asdict(hits.compress(t, query, bias, rules))), columns)
 
-    return run(text)
+    return run.asNondeterministic()(text)
 
 
 def crush(text: Column, query: str = "", bias: float = 1.0, rules: arrays.Rules = arrays.Rules()) -> Column:
@@ -81,7 +82,7 @@ def crush(text: Column, query: str = "", bias: float = 1.0, rules: arrays.Rules
     def run(text: pd.Series) -> pd.DataFrame:
         return _rows(text, lambda t: dict(zip(("compressed", "was_modified", "strategy"), arrays.crush(t, query, bias, rules))), ["compressed", "was_modified", "strategy"])
 
-    return run(text)
+    return run.asNondeterministic()(text)
 
 
 def table(text: Column, style: str = "csv") -> Column:
@@ -98,7 +99,7 @@ def table(text: Column, style: str = "csv") -> Column:
 
         return text.map(one, na_action="ignore")
 
-    return run(text)
+    return run.asNondeterministic()(text)
 
 
 def json_structure(text: Column) -> Column:
@@ -106,7 +107,7 @@ def json_structure(text: Column) -> Column:
     def run(text: pd.Series) -> pd.DataFrame:
         return _rows(text, lambda t: dict(zip(("compressed", "keys"), jsontext.structure(t))), ["compressed", "keys"])
 
-    return run(text)
+    return run.asNondeterministic()(text)
 
 
 def minified(text: Column) -> Column:
@@ -114,7 +115,7 @@ def minified(text: Column) -> Column:
     def run(text: pd.Series) -> pd.Series:
         return text.map(jsontext.minified, na_action="ignore")
 
-    return run(text)
+    return run.asNondeterministic()(text)
 
 
 def log_template(text: Column) -> Column:
@@ -122,7 +123,7 @@ def log_template(text: Column) -> Column:
     def run(text: pd.Series) -> pd.Series:
         return text.map(logtemplates.collapse, na_action="ignore")
 
-    return run(text)
+    return run.asNondeterministic()(text)
 
 
 def code(text: Column) -> Column:
@@ -132,7 +133,7 @@ def code(text: Column) -> Column:
     def run(text: pd.Series) -> pd.DataFrame:
         return _rows(text, lambda t: (lambda d: d | {"compressed": d.pop("text")})(asdict(codetext.compress(t))), columns)
 
-    return run(text)
+    return run.asNondeterministic()(text)
 
 
 def protect_tags(text: Column) -> Column:
@@ -140,7 +141,7 @@ def protect_tags(text: Column) -> Column:
     def run(text: pd.Series) -> pd.DataFrame:
         return _rows(text, lambda t: dict(zip(("text", "names"), tagspans.protect(t))), ["text", "names"])
 
-    return run(text)
+    return run.asNondeterministic()(text)
 
 
 def restore_tags(text: Column, names: Column) -> Column:
@@ -148,7 +149,7 @@ def restore_tags(text: Column, names: Column) -> Column:
     def run(text: pd.Series, names: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else tagspans.restore(t, dict(n or {})) for t, n in zip(text, names)])
 
-    return run(text, names)
+    return run.asNondeterministic()(text, names)
 
 
 def keep_words(text: Column, scores: Column, least: float = 0.5) -> Column:
@@ -165,7 +166,7 @@ def adaptive_k(lines: Column, bias: float = 1.0, least: int = 3, most: int | Non
     def run(lines: pd.Series) -> pd.Series:
         return lines.map(lambda x: sizing.adaptive_k(list(x), bias, least, most, check), na_action="ignore")
 
-    return run(lines)
+    return run.asNondeterministic()(lines)
 
 
 def near_clusters(lines: Column, radius: int = sizing.SAME) -> Column:
@@ -175,7 +176,7 @@ def near_clusters(lines: Column, radius: int = sizing.SAME) -> Column:
     def run(lines: pd.Series) -> pd.Series:
         return lines.map(lambda x: sizing.clusters(list(x), radius), na_action="ignore")
 
-    return run(lines)
+    return run.asNondeterministic()(lines)
 
 
 def _array(text: str) -> jsontext.Raw | None:
@@ -193,7 +194,7 @@ def anchor_places(text: Column, most: int = 15, strategy: str = "smart_sample",
     def run(text: pd.Series) -> pd.Series:
         return text.map(lambda t: None if (v := _array(t)) is None else arrays.anchors(v, most, strategy, query), na_action="ignore")
 
-    return run(text)
+    return run.asNondeterministic()(text)
 
 
 def array_analysis(text: Column) -> Column:
@@ -211,4 +212,4 @@ def array_analysis(text: Column) -> Column:
 
         return _rows(text, one, columns)
 
-    return run(text)
+    return run.asNondeterministic()(text)

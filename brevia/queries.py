@@ -39,6 +39,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of whole texts for costly functions: dealt anew only if its files are fewer than there are cores."""
+    t, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return t.repartition(cores) if len(t.inputFiles()) < cores else t
+
+
 def q(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
@@ -110,7 +116,7 @@ _IMPORTANCE_SQL = {c: P.words(*sorted(P.IMPORTANCE[c], key=lambda k: (-len(k), k
 @query(f"""WITH {LINES_SQL}, s AS (SELECT doc_id, line_no, regexp_matches(line, {q(_IMPORTANCE_SQL["error"])}) OR regexp_matches(line, {q(_IMPORTANCE_SQL["importance"])}) AS u, regexp_matches(line, {q(_IMPORTANCE_SQL["warning"])}) AS w FROM x)
 SELECT doc_id, count(*) FILTER (u) AS universal, count(*) FILTER (w AND NOT u) AS warning, count(*) AS n FROM s GROUP BY 1""")
 def line_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lines.lines(table(spark, sf_dir, "documents").where("text IS NOT NULL")).withColumn("s", I.signal(F.col("line"), "log"))
+    rows = lines.lines(texts(spark, sf_dir, "documents").where("text IS NOT NULL")).withColumn("s", I.signal(F.col("line"), "log"))
     return rows.groupBy("doc_id").agg(F.count_if(F.col("s.category").isin("error", "importance")).alias("universal"), F.count_if(F.col("s.category") == "warning").alias("warning"), F.count("*").alias("n"))
 
 
@@ -206,12 +212,12 @@ def _detected(rows: DataFrame, key: str) -> DataFrame:
 
 @query(detection_sql("SELECT doc_id, text FROM documents WHERE text IS NOT NULL", "doc_id"))
 def detect_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _detected(table(spark, sf_dir, "documents").where("text IS NOT NULL"), "doc_id")
+    return _detected(texts(spark, sf_dir, "documents").where("text IS NOT NULL"), "doc_id")
 
 
 @query(detection_sql("SELECT page_id, html AS text FROM pages WHERE html IS NOT NULL", "page_id"))
 def detect_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _detected(table(spark, sf_dir, "pages").where("html IS NOT NULL").select("page_id", F.col("html").alias("text")), "page_id")
+    return _detected(texts(spark, sf_dir, "pages").where("html IS NOT NULL").select("page_id", F.col("html").alias("text")), "page_id")
 
 
 def event_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,7 +233,7 @@ def detect_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hit_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(block, lang, text): lines of documents as hits file:number:content, one block per document."""
-    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    d = texts(spark, sf_dir, "documents").where("text IS NOT NULL")
     file = F.concat("source", F.lit("/d"), F.col("doc_id").cast("string"), F.lit(".txt"))
     hits = d.select("doc_id", "lang", file.alias("file"), F.split("text", "\n").alias("l"))
     # blank lines are no hits; numbers are those of all lines
@@ -398,7 +404,7 @@ SELECT doc_id, query_id, score, n_matched FROM (SELECT *, row_number() OVER (PAR
 def bm25_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top ten documents for every item of the benchmark."""
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    scored = relevance.bm25(table(spark, sf_dir, "documents"), queries).select("doc_id", "query_id", F.round("score", 6).alias("score"), F.size("matched").cast("long").alias("n_matched"))
+    scored = relevance.bm25(texts(spark, sf_dir, "documents"), queries).select("doc_id", "query_id", F.round("score", 6).alias("score"), F.size("matched").cast("long").alias("n_matched"))
     return items.top_n(scored, 10, "query_id", [F.desc("score"), F.desc("n_matched"), "doc_id"])
 
 
@@ -490,8 +496,8 @@ def search_compress(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT lang AS block, count(*)::int AS hits_in FROM (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL) WHERE trim(line) <> '' GROUP BY 1")
 def search_compress_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits that the compressor read, by language."""
-    counts = search_compress(spark, sf_dir).where("hits_in > 0").groupBy(F.col("lang").alias("block"))
-    return counts.agg(F.sum("hits_in").cast("int").alias("hits_in"))
+    counts = search_compress(spark, sf_dir).groupBy(F.col("lang").alias("block"))
+    return counts.agg(F.sum("hits_in").cast("int").alias("hits_in")).where("hits_in > 0")
 
 
 def order_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
