@@ -6,16 +6,22 @@ least. Windows of at least ``t`` tokens stand for all passages of t tokens or mo
 one pivot per hash function. Only minimizers of t-token windows can be pivots of such windows, and the nearest
 smaller hash of one is one too, so a sliding minimum and a stack over few candidates build the tree.
 
-Windows are grouped by pivot token and one anchor token half a passage to the right or left, where the window
-reaches that far: any passage of t tokens that two places share keeps at least one of the two keys. Within a
-key, every window meets the first one (a star by a min aggregate and a join). What all hash functions find on one
-diagonal of two texts becomes one interval, which is verified on the token sequences: kept are the stretches of
-t-token windows whose aligned similarity is at least ``least``.
+Windows are grouped by pivot token and one anchor token on its right or left, where the window reaches half a
+passage that far: any passage of t tokens that two places share keeps one of the two sides. The anchor is itself a
+min-hash, the least of the tokens ``NEAR`` to t / 2 places away, so that words put in or left out between pivot and
+anchor change neither. Within a key, every window meets the first one (a star by a min aggregate and a join). What
+the hash functions find between two texts is joined by intervals: each place is verified on the token sequences, where
+tokens match within ``DRIFT`` places of the diagonal. Kept are the stretches of windows of t tokens whose similarity
+(matches over all tokens of both sides) is at least ``least``; stretches that different hash functions or diagonals
+found twice are one.
 
 Windows that did not verify against the first one of their key are settled exactly: each is held against all
 earlier windows of the key, in blocks of bounded size, on the tokens around the pivot, and joins the first that
 has a passage over the pivot in common with it.
 
+Very long texts are cut nowhere; a text's windows are linear in its length. Ids must be numbers. A passage of 46 to 49
+equal words is found too: among windows of 50 words it has a similarity of 0.8.
+
 Defined cases: null, empty and short texts have no passage; rows without an id are left out; rows that repeat
 an id are one document; an empty table gives an empty result; further columns are ignored.
 """
@@ -34,9 +40,15 @@ from .textkernel import U, lowered_words, mix, seeds, shingles, slices, text_buf
 
 HASHES = 3
 _SEEDS = seeds(HASHES, 17)
+_ANCHORS = seeds(HASHES, 19)
+#: Tokens between pivot and anchor at least.
+NEAR = 14
+#: Tokens by which matches may leave the diagonal of two places.
+DRIFT = 8
+_STEPS = sorted(range(-DRIFT, DRIFT + 1), key=abs)
 #: Windows of a key in one block when a key is settled.
 BLOCK = 2_000
-OUT = "doc_id long, start long, end long, first_doc_id long, first_start long, similarity double"
+OUT = "doc_id long, start long, end long, first_doc_id long, first_start long, first_end long, similarity double"
 
 
 def _tokens(b: np.ndarray, o: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,11 +107,16 @@ def _sliding_max(x: np.ndarray, t: int) -> np.ndarray:
 def window_keys(h: np.ndarray, t: int) -> Iterator[tuple[np.ndarray, ...]]:
     """(key, pivot, left, right end) of the windows of one token sequence under each hash function."""
     half = t // 2
-    for j, s in enumerate(_SEEDS):
+    near = min(NEAR, half)
+    for j, (s, r) in enumerate(zip(_SEEDS, _ANCHORS)):
         c, left, right = compact_windows(mix(h ^ s), t)
-        for side, anchor, ok in ((1, c + half, c + half < right), (2, c - half, c - half >= left)):
+        if not len(c):
+            continue
+        # the least token of half - near + 1 places, by where they begin
+        low = sliding_min(mix(h ^ r), half - near + 1)
+        for side, begin, ok in ((1, c + near, c + half < right), (2, c - half, c - half >= left)):
             p, lo, hi = c[ok], left[ok], right[ok]
-            key = mix(mix(h[p] + U(4 * j + side)) ^ h[anchor[ok]])
+            key = mix(mix(h[p] + U(4 * j + side)) ^ low[begin[ok]])
             order = np.argsort(key, kind="stable")
             again = np.flatnonzero(key[order[1:]] == key[order[:-1]]) + 1 if len(order) else order
             if len(again):
@@ -153,39 +170,94 @@ def _sequences(k: int):
     return run
 
 
-def aligned_spans(a: np.ndarray, b: np.ndarray, shift: int, t: int, least: float, lo: int = 0, hi: int = 1 << 60) -> list[tuple[int, int, float]]:
-    """(start, end, similarity) of the stretches of a[lo:hi] where windows of t tokens match b at place - shift."""
-    lo, hi = max(lo, shift), min(hi, len(a), len(b) + shift)
+def drifts(a: np.ndarray, b: np.ndarray, shift: int, lo: int, hi: int) -> np.ndarray:
+    """For each place of a[lo:hi] how far from place - shift its token is in b, the nearest within DRIFT; DRIFT + 1 without a match."""
+    off = np.full(hi - lo, DRIFT + 1, np.int64)
+    for d in _STEPS:
+        x, y = max(lo, shift + d), min(hi, len(b) + shift + d)
+        if x < y:
+            part = off[x - lo : y - lo]
+            part[(part > DRIFT) & (a[x:y] == b[x - shift - d : y - shift - d])] = d
+        if d == 0 and not off.any():
+            break
+    return off
+
+
+def good_windows(off: np.ndarray, t: int, least: float) -> np.ndarray:
+    """Whether each window of t places (last axis) is similar: matches over the tokens of both sides, of which the other has t at least."""
+    match = off <= DRIFT
+    n = off.shape[-1]
+    c = np.concatenate([np.zeros((*off.shape[:-1], 1), np.int64), np.cumsum(match, -1)], -1)
+    inter = c[..., t:] - c[..., :-t]
+    place = np.arange(n)
+    # places on the other side of the first and the last match of each window
+    after = np.minimum.accumulate(np.where(match, place, n - 1)[..., ::-1], -1)[..., ::-1][..., : n - t + 1]
+    before = np.maximum.accumulate(np.where(match, place, 0), -1)[..., t - 1 :]
+    q = place - np.where(match, off, 0)
+    span = np.take_along_axis(q, before, -1) - np.take_along_axis(q, after, -1) + 1
+    return inter >= least * (t + np.maximum(span, t) - inter)
+
+
+def similar_spans(a: np.ndarray, b: np.ndarray, shift: int, t: int, least: float, lo: int = 0, hi: int = 1 << 60) -> list[tuple[int, int, int, int, float]]:
+    """(start, end, start in b, end in b, similarity) of the stretches of a[lo:hi] where windows of t tokens match b near place - shift."""
+    lo, hi = max(lo, shift - DRIFT, 0), min(hi, len(a), len(b) + shift + DRIFT)
     if hi - lo < t:
         return []
-    same = a[lo:hi] == b[lo - shift : hi - shift]
-    c = np.concatenate([[0], np.cumsum(same)])
-    inter = c[t:] - c[:-t]
-    good = np.flatnonzero(inter >= least * (2 * t - inter))
+    off = drifts(a, b, shift, lo, hi)
+    match = off <= DRIFT
+    if match.sum() < least * t:
+        return []
+    good = np.flatnonzero(good_windows(off, t, least))
+    c = np.concatenate([[0], np.cumsum(match)])
     spans = []
     if len(good):
         for run in np.split(good, np.flatnonzero(np.diff(good) > t) + 1):
             start, end = int(run[0]), int(run[-1]) + t
-            while not same[start]:
+            while not match[start]:
                 start += 1
-            while not same[end - 1]:
+            while not match[end - 1]:
                 end -= 1
+            first, last = lo + start - shift - int(off[start]), lo + end - shift - int(off[end - 1])
             n = int(c[end] - c[start])
-            spans.append((lo + start, lo + end, n / (2 * (end - start) - n)))
+            spans.append((lo + start, lo + end, first, last, n / (end - start + max(last - first, n) - n)))
     return spans
 
 
+def pair_spans(a: np.ndarray, b: np.ndarray, runs: list[tuple[int, int, int]], t: int, least: float) -> list[tuple[int, int, int, int, float]]:
+    """The spans of all candidate (shift, lo, hi) of two texts, each stretch once."""
+    # intervals that overlap, on diagonals that one verification sees, are one
+    joined: list[list[int]] = []
+    for lo, hi, shift in sorted({(lo, hi, shift) for shift, lo, hi in runs}):
+        same = next((x for x in joined if abs(x[0] - shift) <= DRIFT // 2 and lo <= x[2]), None)
+        if same is None:
+            joined.append([shift, lo, hi])
+        else:
+            same[2] = max(same[2], hi)
+    spans: list[tuple[int, int, int, int, float]] = []
+
+    def holds(x: tuple, start: int, end: int, shift: int) -> bool:
+        return x[0] <= start and end <= x[1] and abs(x[0] - x[2] - shift) <= 2 * DRIFT
+
+    for shift, lo, hi in sorted(joined, key=lambda r: r[1] - r[2]):
+        if any(holds(x, lo, hi, shift) for x in spans):
+            continue
+        for new in similar_spans(a, b, shift, t, least, lo, hi):
+            if not any(holds(x, new[0], new[1], new[0] - new[2]) for x in spans):
+                spans = [x for x in spans if not holds(new, x[0], x[1], x[0] - x[2])] + [new]
+    return sorted(spans)
+
+
 def _verify(k: int, t: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            doc, first, shift, lo, hi = (batch.column(i).to_pylist() for i in range(5))
+            doc, first, runs = (batch.column(i).to_pylist() for i in range(3))
             for i in range(batch.num_rows):
-                a, b = (np.frombuffer(batch.column(j)[i].as_buffer(), "<u4") for j in (5, 6))
-                for start, end, sim in aligned_spans(a, b, shift[i], t, least, lo[i], hi[i]):
-                    rows.append((doc[i], start, end + k - 1, first[i], start - shift[i], sim))
-            c = list(zip(*rows)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in c[:5]), pa.array(c[5], pa.float64())], ["doc_id", "start", "end", "first_doc_id", "first_start", "similarity"])
+                a, b = (np.frombuffer(batch.column(j)[i].as_buffer(), "<u4") for j in (3, 4))
+                for start, end, other, stop, sim in pair_spans(a, b, [(r["shift"], r["lo"], r["hi"]) for r in runs[i]], t, least):
+                    rows.append((doc[i], start, end + k - 1, first[i], other, stop + k - 1, sim))
+            c = list(zip(*rows)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in c[:6]), pa.array(c[6], pa.float64())], [f.split()[0] for f in OUT.split(", ")])
 
     return run
 
@@ -218,20 +290,23 @@ def first_partners(doc: np.ndarray, pos: np.ndarray, around: np.ndarray, own: np
     """(guest, home) indexes: for each guest the first earlier home with a similar window of t tokens over both pivots, if any."""
     homes = homes[np.lexsort((pos[homes], doc[homes]))]
     found = []
-    starts = np.arange(t)
+    starts, width = np.arange(t), 2 * t - 1
+    d, p = doc[homes], pos[homes]
     for g in guests.tolist():
-        d, p = doc[homes], pos[homes]
         earlier = homes[(d < doc[g]) | ((d == doc[g]) & (p <= pos[g] - t))]
         for lo in range(0, len(earlier), 256):
             part = earlier[lo : lo + 256]
-            same = around[part] == around[g]
-            part, same = (x[same.sum(1) >= least * t] for x in (part, same))
+            off = np.full((len(part), width), DRIFT + 1, np.int64)
+            for step in _STEPS:
+                x, y = max(0, step), min(width, width + step)
+                own_part = off[:, x:y]
+                own_part[(own_part > DRIFT) & (around[part, x - step : y - step] == around[g, x:y])] = step
+            likely = (off <= DRIFT).sum(1) >= least * t
+            part, off = part[likely], off[likely]
             if not len(part):
                 continue
-            c = np.concatenate([np.zeros((len(part), 1), np.int64), np.cumsum(same, 1)], 1)
-            inter = c[:, t:] - c[:, :-t]
-            first, last = np.maximum(bounds[part, 0], own[g, 0]), np.minimum(bounds[part, 1], own[g, 1])
-            good = ((inter >= least * (2 * t - inter)) & (starts >= first[:, None]) & (starts <= last[:, None])).any(1)
+            first, last = np.maximum(bounds[part, 0] - DRIFT, own[g, 0]), np.minimum(bounds[part, 1] + DRIFT, own[g, 1])
+            good = (good_windows(off, t, least) & (starts >= first[:, None]) & (starts <= last[:, None])).any(1)
             if good.any():
                 found.append((g, int(part[good.argmax()])))
                 break
@@ -257,12 +332,13 @@ def _settle(t: int, least: float):
     return run
 
 
-def _more_diagonals(members: DataFrame, verified: DataFrame, pairs: DataFrame, seqs: DataFrame, k: int, t: int, least: float) -> DataFrame | None:
-    """Diagonals of the windows that did not verify against the first of their key with the first window that they do match; None if all did."""
+def _more_runs(members: DataFrame, verified: DataFrame, pairs: DataFrame, seqs: DataFrame, k: int, t: int, least: float) -> DataFrame | None:
+    """Candidates of the windows that did not verify against the first of their key, with the first window that they do match; None if all did."""
     held = verified.selectExpr("doc_id AS doc", "first_doc_id AS first_doc", "start - first_start AS shift", "start", f"end - {k - 1} AS stop")
     spans = F.broadcast(held) if held.count() <= common.BROADCAST_IDS // 16 else held
     m = members.where("n > 2").withColumn("shift", F.expr("CAST(pos - first_pos AS long)")).alias("m")
-    missed = m.join(spans.alias("h"), F.expr("m.doc = h.doc AND m.first_doc = h.first_doc AND m.shift = h.shift AND m.pos >= h.start AND m.pos < h.stop"), "left_anti")
+    inside = f"m.doc = h.doc AND m.first_doc = h.first_doc AND abs(m.shift - h.shift) <= {2 * DRIFT} AND m.pos >= h.start AND m.pos < h.stop"
+    missed = m.join(spans.alias("h"), F.expr(inside), "left_anti")
     missed = common.written(missed.where(f"doc <> first_doc OR pos - first_pos >= {t}").select("key", "doc", "pos"), "missed")
     if missed.isEmpty():
         return None
@@ -280,10 +356,10 @@ def _more_diagonals(members: DataFrame, verified: DataFrame, pairs: DataFrame, s
     links = homes.union(guests).groupBy("large", "grp", "g", "block").applyInArrow(_settle(t, least), "key long, doc long, pos int, to_doc long, to_pos int")
     first = links.groupBy("key", "doc", "pos").agg(F.min(F.struct("to_doc", "to_pos")).alias("to"))
     ends = near.select("key", "doc", "pos", F.expr(f"pos + own_lo - {t - 1} AS lo"), F.expr("pos + own_hi + 1 AS hi"))
-    diag = first.join(ends, ["key", "doc", "pos"]).groupBy("doc", F.col("to.to_doc").alias("first_doc"), F.expr("pos - to.to_pos AS shift")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    # a diagonal that the stars had found too is verified once more, over both intervals
-    old = pairs.withColumnsRenamed({"lo": "old_lo", "hi": "old_hi"})
-    return common.written(diag.join(old, ["doc", "first_doc", "shift"], "left").select("doc", "first_doc", "shift", F.least("lo", "old_lo").alias("lo"), F.greatest("hi", "old_hi").alias("hi")), "more")
+    runs = F.collect_list(F.struct(F.expr("CAST(pos - to.to_pos AS int) AS shift"), "lo", "hi"))
+    more = first.join(ends, ["key", "doc", "pos"]).groupBy("doc", F.col("to.to_doc").alias("first_doc")).agg(runs.alias("more"))
+    # what the stars had found between the same texts is verified once more, with the new places
+    return common.written(more.join(pairs, ["doc", "first_doc"], "left").select("doc", "first_doc", F.expr("CASE WHEN runs IS NULL THEN more ELSE concat(runs, more) END AS runs")), "more")
 
 
 def repeated_passages(docs: DataFrame, words: int = 50, k: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -294,22 +370,18 @@ def repeated_passages(docs: DataFrame, words: int = 50, k: int = 5, least: float
     keys = base.mapInArrow(_keys(k, t), "key long, doc long, pos int, lo int, hi int")
     firsts = keys.groupBy("key").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "n", F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos"))
     members = common.written(keys.join(firsts, "key"), "members")
-    pairs = (
-        members.where("doc <> first_doc OR pos - first_pos >= %d" % t)
-        .groupBy("doc", "first_doc", (F.col("pos") - F.col("first_pos")).alias("shift")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    )
-    pairs = common.written(pairs, "diagonals")
+    runs = F.collect_list(F.struct(F.expr("CAST(pos - first_pos AS int) AS shift"), "lo", "hi"))
+    pairs = common.written(members.where(f"doc <> first_doc OR pos - first_pos >= {t}").groupBy("doc", "first_doc").agg(runs.alias("runs")), "runs")
     party = common.written(pairs.select(F.explode(F.array("doc", "first_doc")).alias("id")).distinct(), "party")
     seqs = common.written(common.keyed_filter(base, party, "id").mapInArrow(_sequences(k), "id long, seq binary").dropDuplicates(["id"]), "seqs")
 
     def verify(some: DataFrame) -> DataFrame:
         both = some.join(seqs.selectExpr("id AS doc", "seq AS a"), "doc").join(seqs.selectExpr("id AS first_doc", "seq AS b"), "first_doc")
-        return both.select("doc", "first_doc", "shift", "lo", "hi", "a", "b").mapInArrow(_verify(k, t, least), OUT)
+        return both.select("doc", "first_doc", "runs", "a", "b").mapInArrow(_verify(k, t, least), OUT)
 
     verified = common.written(verify(pairs), "verified")
-    more = _more_diagonals(members, verified, pairs, seqs, k, t, least)
+    more = _more_runs(members, verified, pairs, seqs, k, t, least)
     if more is None:
         return verified
-    again = more.selectExpr("doc AS doc_id", "first_doc AS first_doc_id", "CAST(shift AS long) AS shift")
-    kept = verified.withColumn("shift", F.expr("start - first_start")).join(again, ["doc_id", "first_doc_id", "shift"], "left_anti").select(verified.columns)
-    return kept.union(verify(more))
+    again = more.selectExpr("doc AS doc_id", "first_doc AS first_doc_id")
+    return verified.join(again, ["doc_id", "first_doc_id"], "left_anti").select(verified.columns).union(verify(more))
