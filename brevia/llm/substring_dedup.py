@@ -45,7 +45,7 @@ _ANCHORS = seeds(HASHES, 19)
 NEAR = 14
 #: Tokens by which matches may leave the diagonal of two places.
 DRIFT = 8
-_STEPS = sorted(range(-DRIFT, DRIFT + 1), key=abs)
+_STEPS = sorted(range(-DRIFT, DRIFT + 1), key=lambda d: (-abs(d), -d))
 #: Windows of a key in one block when a key is settled.
 BLOCK = 2_000
 OUT = "doc_id long, start long, end long, first_doc_id long, first_start long, first_end long, similarity double"
@@ -172,14 +172,14 @@ def _sequences(k: int):
 
 def drifts(a: np.ndarray, b: np.ndarray, shift: int, lo: int, hi: int) -> np.ndarray:
     """For each place of a[lo:hi] how far from place - shift its token is in b, the nearest within DRIFT; DRIFT + 1 without a match."""
-    off = np.full(hi - lo, DRIFT + 1, np.int64)
-    for d in _STEPS:
+    off = np.full(hi - lo, DRIFT + 1, np.int8)
+    if lo >= shift and hi <= len(b) + shift and (a[lo:hi] == b[lo - shift : hi - shift]).all():
+        off[:] = 0
+        return off
+    for d in _STEPS:  # the nearest writes last
         x, y = max(lo, shift + d), min(hi, len(b) + shift + d)
         if x < y:
-            part = off[x - lo : y - lo]
-            part[(part > DRIFT) & (a[x:y] == b[x - shift - d : y - shift - d])] = d
-        if d == 0 and not off.any():
-            break
+            np.copyto(off[x - lo : y - lo], d, where=a[x:y] == b[x - shift - d : y - shift - d])
     return off
 
 
@@ -193,7 +193,7 @@ def good_windows(off: np.ndarray, t: int, least: float) -> np.ndarray:
     # places on the other side of the first and the last match of each window
     after = np.minimum.accumulate(np.where(match, place, n - 1)[..., ::-1], -1)[..., ::-1][..., : n - t + 1]
     before = np.maximum.accumulate(np.where(match, place, 0), -1)[..., t - 1 :]
-    q = place - np.where(match, off, 0)
+    q = place - np.where(match, off, np.int8(0))
     span = np.take_along_axis(q, before, -1) - np.take_along_axis(q, after, -1) + 1
     return inter >= least * (t + np.maximum(span, t) - inter)
 
@@ -296,11 +296,11 @@ def first_partners(doc: np.ndarray, pos: np.ndarray, around: np.ndarray, own: np
         earlier = homes[(d < doc[g]) | ((d == doc[g]) & (p <= pos[g] - t))]
         for lo in range(0, len(earlier), 256):
             part = earlier[lo : lo + 256]
-            off = np.full((len(part), width), DRIFT + 1, np.int64)
+            off = np.full((len(part), width), DRIFT + 1, np.int8)
+            theirs, ours = around[part], around[g]
             for step in _STEPS:
                 x, y = max(0, step), min(width, width + step)
-                own_part = off[:, x:y]
-                own_part[(own_part > DRIFT) & (around[part, x - step : y - step] == around[g, x:y])] = step
+                np.copyto(off[:, x:y], step, where=theirs[:, x - step : y - step] == ours[x:y])
             likely = (off <= DRIFT).sum(1) >= least * t
             part, off = part[likely], off[likely]
             if not len(part):
@@ -367,9 +367,11 @@ def repeated_passages(docs: DataFrame, words: int = 50, k: int = 5, least: float
     common.small_batches(docs.sparkSession)
     t = words - k + 1
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id IS NOT NULL")
-    keys = base.mapInArrow(_keys(k, t), "key long, doc long, pos int, lo int, hi int")
+    # written: both the firsts and the members read it, and the windows cost more than the table
+    keys = common.written(base.mapInArrow(_keys(k, t), "key long, doc long, pos int, lo int, hi int"), "windows")
     firsts = keys.groupBy("key").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "n", F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos"))
     members = common.written(keys.join(firsts, "key"), "members")
+    common.drop(keys)
     runs = F.collect_list(F.struct(F.expr("CAST(pos - first_pos AS int) AS shift"), "lo", "hi"))
     pairs = common.written(members.where(f"doc <> first_doc OR pos - first_pos >= {t}").groupBy("doc", "first_doc").agg(runs.alias("runs")), "runs")
     party = common.written(pairs.select(F.explode(F.array("doc", "first_doc")).alias("id")).distinct(), "party")
