@@ -1,21 +1,24 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming lookup, exact verification.
 
-Words are runs of letters, digits and other non-ASCII characters, capitals folded; shingles are k words. A
-window has as many shingles as the item it is held against. A window can only reach the similarity if it holds
-shingles of the item, so windows are made around shared shingles alone (exact pruning).
+Words are runs of letters, digits and other non-ASCII characters, capitals folded; shingles are k words. For every
+size that an item has, the windows of that many shingles are looked at. A window can only be similar to any item if
+most of its shingles occur in the benchmark: of size + item size tokens, the share least / (1 + least) must be common.
+A running count of known shingles thus drops most windows, exactly and whatever item they might match.
 
 The 64-bit fingerprint of a window is the sign of its summed shingle votes (a shingle that occurs twice votes
-twice). Fingerprints are cut into ``BLOCKS`` blocks of 8 bits: two fingerprints within ``RADIUS`` differ in some
-block by at most RADIUS // BLOCKS bits, so the union over blocks of the items within that ball finds all of
-them. Candidates are verified by the weighted Jaccard similarity of the shingle multisets.
+twice). Items are found by it alone: fingerprints are cut into ``BLOCKS`` blocks of 8 bits, and two fingerprints within
+``RADIUS`` differ in some block by at most RADIUS // BLOCKS bits, so the union over blocks of the items within that
+ball holds all of them. Candidates of the window's size are verified by the weighted Jaccard similarity of the shingle
+multisets. A similarity of 0.8 turns about 10 of 64 bits; ``RADIUS`` is over three deviations above that.
 
 Defined cases: null or empty texts and items match nothing; an item of fewer than k words matches only a text
 that is the same words; repeated rows give a row each; empty tables give an empty result; further columns are
-ignored.
+ignored; ids must be numbers, and a leak in a row with a null id has a null doc_id. Very long texts are read whole.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,6 +34,8 @@ from .textkernel import HashIndex, U, hashes, segments, shingles, slices, text_b
 BLOCKS, RADIUS = 8, 20
 #: Bytes of items handled at once; a larger benchmark is held against the texts in several groups.
 GROUP_BYTES = 8 << 20
+#: Windows whose votes are summed at once.
+WINDOWS = 4096
 #: ASCII signs part words.
 SIGN = np.zeros(256, bool)
 SIGN[:128] = True
@@ -64,46 +69,43 @@ class Items:
         self.ids, self.h = ids, [h[a:b] for a, b in zip(ends - n, ends)]
         self.bags = [Counter(x.tolist()) for x in self.h]
         self.sizes = n
-        known = np.unique(h)
+        self.distinct_sizes = np.unique(n[n > 0]).tolist()
         self.index = HashIndex()
-        self.index.add(known)
-        self.owners: list[set[int]] = [set() for _ in known]
-        for i, x in enumerate(self.h):
-            for s in self.index.get(x).tolist():
-                self.owners[s].add(i)
+        self.index.add(np.unique(h))
         self.prints = np.array([fingerprints(x, len(x))[0] if len(x) else 0 for x in self.h], U)
         # ball[b][v]: items whose block b is within RADIUS // BLOCKS bits of v
         value = np.arange(256, dtype=np.uint8)
         blocks = self.prints.view(np.uint8).reshape(-1, 8) if len(ids) else np.zeros((0, 8), np.uint8)
         self.ball = [[np.flatnonzero(np.bitwise_count(blocks[:, b] ^ v) <= RADIUS // BLOCKS) for v in value] for b in range(BLOCKS)]
 
-    def within(self, fingerprint: int) -> set[int]:
-        """All items within RADIUS of a fingerprint."""
-        near: set[int] = set()
-        for b in range(BLOCKS):
-            near.update(self.ball[b][(fingerprint >> (8 * b)) & 255].tolist())
-        return {i for i in near if (int(self.prints[i]) ^ fingerprint).bit_count() <= RADIUS}
-
-    def matches(self, h: np.ndarray, hits: np.ndarray, entry: np.ndarray, least: float) -> Iterator[tuple[int, float, int, int]]:
-        """(item, similarity, first shingle, end) of the best window of each item in one text; hits: places of known shingles."""
-        near: dict[int, list[int]] = {}
-        for p, e in zip(hits.tolist(), entry.tolist()):
-            for i in self.owners[e]:
-                near.setdefault(i, []).append(p)
-        for i, places in near.items():
-            size = min(int(self.sizes[i]), len(h))
-            p = np.array(places)
-            first = np.unique(np.clip((p[:, None] - np.arange(size)[None, :]).reshape(-1), 0, len(h) - size))
-            best = (0.0, 0)
+    def within(self, fingerprint: int, size: int) -> np.ndarray:
+        """All items of ``size`` shingles within RADIUS of a fingerprint."""
+        near = np.unique(np.concatenate([self.ball[b][(fingerprint >> (8 * b)) & 255] for b in range(BLOCKS)]))
+        near = near[self.sizes[near] == size]
+        return near[np.bitwise_count(self.prints[near] ^ U(fingerprint)) <= RADIUS]
+
+    def matches(self, h: np.ndarray, known: np.ndarray, least: float) -> Iterator[tuple[int, float, int, int]]:
+        """(item, similarity, first shingle, end) of the best window of each item in one text; known: which shingles some item has."""
+        count = np.concatenate([[0], np.cumsum(known)])
+        best: dict[int, tuple[float, int, int]] = {}
+        for item_size in self.distinct_sizes:
+            size = min(item_size, len(h))
+            need = math.ceil(least * (size + item_size) / (1 + least) - 1e-9)
+            if need > min(size, int(count[-1])):
+                continue
+            first = np.flatnonzero(count[size:] - count[:-size] >= need)
             # runs of neighbouring windows share one pass over their shingles
-            for run in np.split(first, np.flatnonzero(np.diff(first) > 1) + 1):
-                lo = int(run[0])
-                part = h[lo : int(run[-1]) + size]
-                for at, f in enumerate(fingerprints(part, size).tolist()):
-                    if i in self.within(f):
-                        best = max(best, (weighted(Counter(part[at : at + size].tolist()), self.bags[i]), -(lo + at)))
-            if best[0] >= least:
-                yield i, best[0], -best[1], -best[1] + size
+            for run in np.split(first, np.flatnonzero(np.diff(first) > 1) + 1) if len(first) else ():
+                for lo in range(int(run[0]), int(run[-1]) + 1, WINDOWS):
+                    part = h[lo : min(lo + WINDOWS, int(run[-1]) + 1) + size - 1]
+                    for at, f in enumerate(fingerprints(part, size).tolist()):
+                        found = self.within(f, item_size).tolist()
+                        bag = Counter(part[at : at + size].tolist()) if found else None
+                        for i in found:
+                            best[i] = max(best.get(i, (0.0, 0, 0)), (weighted(bag, self.bags[i]), -(lo + at), size))
+        for i, (sim, at, size) in sorted(best.items()):
+            if sim >= least:
+                yield i, sim, -at, -at + size
 
 
 def weighted(a: Counter, b: Counter) -> float:
@@ -121,13 +123,10 @@ def _match(items: Items, k: int, least: float):
             for lo, hi, b, o in slices(data, off):
                 h, n, words = shingle_rows(b, o, k)
                 entry = items.index.get(h)
-                hit = np.flatnonzero(entry >= 0)
                 ends = np.cumsum(n)
-                row = np.searchsorted(ends, hit, "right")
-                for r in np.unique(row).tolist():
-                    at = hit[row == r]
+                for r in np.unique(np.searchsorted(ends, np.flatnonzero(entry >= 0), "right")).tolist():
                     begin = int(ends[r] - n[r])
-                    for i, sim, first, end in items.matches(h[begin : int(ends[r])], at - begin, entry[at], least):
+                    for i, sim, first, end in items.matches(h[begin : int(ends[r])], entry[begin : int(ends[r])] >= 0, least):
                         rows.append((ids[lo + r], items.ids[i], sim, first, min(int(words[r]), end + k - 1)))
             c = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.float64()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.int64())], ["doc_id", "item_id", "similarity", "word_start", "word_end"])
@@ -135,22 +134,49 @@ def _match(items: Items, k: int, least: float):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document and item that it holds: doc_id, item_id, similarity, word_start, word_end of the best window."""
-    common.small_batches(docs.sparkSession)
-    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+def _groups(benchmark: DataFrame, k: int) -> Iterator[Items]:
+    """The benchmark in groups of ``GROUP_BYTES``, each read to the driver and handed to the tasks."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL AND item_id IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     groups = max(1, -(-size // GROUP_BYTES))
-    out = None
     for g in range(groups):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g).orderBy("item_id").collect()
-        found = base.mapInArrow(_match(Items([r.item_id for r in rows], [r.text for r in rows], k), k, least), OUT)
+        yield Items([r.item_id for r in rows], [r.text for r in rows], k)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document and item that it holds: doc_id, item_id, similarity, word_start, word_end of the best window."""
+    common.small_batches(docs.sparkSession)
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    out = None
+    for items in _groups(benchmark, k):
+        found = base.mapInArrow(_match(items, k, least), OUT)
         out = found if out is None else out.union(found)
     return out
 
 
+def _clean(items: Items, k: int, least: float, text_at: int):
+    """Rows whose text holds no item, whole."""
+    match = _match(items, k, least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = pa.array(np.arange(batch.num_rows))
+            held = next(match(iter([pa.RecordBatch.from_arrays([place, batch.column(text_at)], ["place", "text"])])))
+            keep = np.ones(batch.num_rows, bool)
+            keep[held.column(0).to_numpy()] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
 def keep_clean(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents that hold a benchmark item; rows without an id stay."""
-    gone = common.written(contaminated(docs, benchmark, k, least, id_col, text_col).select(F.col("doc_id").alias(id_col)).distinct(), "leaks")
-    return common.keyed_filter(docs, gone, id_col, "left_anti").select(docs.columns)
+    """docs without the documents that hold a benchmark item; rows without an id are judged one by one, by their text."""
+    gone = common.written(contaminated(docs, benchmark, k, least, id_col, text_col).select(F.col("doc_id").alias(id_col)).where(F.col(f"`{id_col}`").isNotNull()).distinct(), "leaks")
+    named = common.keyed_filter(docs.where(F.col(f"`{id_col}`").isNotNull()), gone, id_col, "left_anti").select(docs.columns)
+    rest = docs.where(F.col(f"`{id_col}`").isNull())
+    if rest.isEmpty():
+        return named
+    for items in _groups(benchmark, k):
+        rest = rest.mapInArrow(_clean(items, k, least, docs.columns.index(text_col)), docs.schema)
+    return named.union(rest)
