@@ -12,7 +12,8 @@ one count and one exit state. Maps are made for all chunks in lock step, and a p
 exit of each chunk enters the head of the next.
 
 Defined cases: null and empty texts have 0 tokens; repeated rows count each; an empty table gives an empty
-result; further columns are ignored; a text without any border is one long chain of heads, still exact.
+result; further columns are ignored; ids must be numbers; a text without any border is one long chain of heads, still
+exact, and very long texts are cut into chunks without any loss.
 """
 
 from __future__ import annotations
@@ -203,24 +204,54 @@ class Transducer:
         at = np.flatnonzero(border)
         k = np.searchsorted(at, begin)
         head = np.minimum(np.where(k < len(at), at[np.minimum(k, max(len(at) - 1, 0))] if len(at) else end, end), end)
-        exit_state, total = self.run(symbols, head, end, np.zeros(len(begin), np.int32))
-        constant = head < end
-        # the scan: entry of a chunk = exit of the one before; a chunk that is all head hands its own exit on, later
-        entry = np.zeros(len(begin), np.int32)
-        done = constant | (begin == end)
-        pending = (nth > 0) & (head > begin)
-        known = done.copy()
-        while pending.any():
-            ready = np.flatnonzero(pending)
-            ready = ready[known[ready - 1]]
-            entry[ready] = exit_state[ready - 1]
-            out, n = self.run(symbols, begin[ready], head[ready], entry[ready])
-            total[ready] += n
-            exit_state[ready] = np.where(constant[ready], exit_state[ready], out)
-            known[ready] = True
-            pending[ready] = False
+        constant, total = self.run(symbols, head, end, np.zeros(len(begin), np.int32))
+        total += self._heads(symbols, begin, head, np.where(head < end, constant, -1), text)
         return np.bincount(text, weights=total, minlength=len(full)).astype(np.int64)
 
+    def _heads(self, symbols: np.ndarray, begin: np.ndarray, head: np.ndarray, constant: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """Tokens that the heads of chains of chunks emit, put down at the first chunk of each chain.
+
+        A head's map has one node per entry state; ``constant`` is the exit of chunks that have a border, else -1.
+        Every head is run from a guess and from all states that the head before it can leave, all in lock step, until
+        no new entry state turns up: states forget what came long before, so that takes few rounds. Then the maps
+        compose by a doubling scan over the nodes.
+        """
+        out = np.zeros(len(begin), np.int64)
+        open_head = head > begin  # never the first chunk of a text, which begins with a border
+        if not open_head.any():
+            return out
+        chunks = np.flatnonzero(open_head)
+        after = np.append(open_head[1:] & (text[1:] == text[:-1]), False)
+        starts = chunks[constant[chunks - 1] >= 0]
+        ids: dict[tuple[int, int], int] = {}
+        node_exit: list[int] = []
+        node_count: list[int] = []
+        node_chunk: list[int] = []
+        new = [(int(c), int(constant[c - 1])) for c in starts] + [(int(c), 0) for c in chunks if constant[c - 1] < 0]
+        while new:
+            new = list(dict.fromkeys(x for x in new if x not in ids))
+            for x in new:
+                ids[x] = len(ids)
+            c = np.array([x[0] for x in new], np.int64)
+            left, n = self.run(symbols, begin[c], head[c], np.array([x[1] for x in new], np.int32))
+            node_exit += left.tolist()
+            node_count += n.tolist()
+            node_chunk += c.tolist()
+            new = [(i + 1, s) for i, s in zip(c.tolist(), left.tolist()) if after[i] and constant[i] < 0 and (i + 1, s) not in ids]
+        # doubling: after r rounds a node holds what 2^r heads from its own on emit
+        last = len(ids)
+        jump = np.full(last + 1, last)
+        for i, (c, s) in enumerate(zip(node_chunk, node_exit)):
+            if after[c] and constant[c] < 0:
+                jump[i] = ids[c + 1, s]
+        total = np.array([*node_count, 0], np.int64)
+        while (jump != last).any():
+            total = total + total[jump]
+            jump = jump[jump]
+        for c in starts.tolist():
+            out[c] = total[ids[c, int(constant[c - 1])]]
+        return out
+
 
 _loaded: dict[str, Transducer] = {}
 
