@@ -2,17 +2,20 @@
 
 A sequence has three residual capacities: tokens, documents and attention cost (the sum of squared piece
 lengths). Pieces go in falling length to the open sequence that satisfies every capacity and whose residual
-vector after placement has the smallest weighted norm. Documents longer than a sequence are cut into full
-pieces, the first of which takes what remains; a full piece is a sequence of its own. Other pieces are dealt
-by hash into groups of about ``GROUP`` pieces that are packed independently, so a task's memory is bounded and
-at most one poorly filled sequence is added per group.
+vector after placement has the smallest weighted norm. Documents longer than a piece may be (by the tokens, and by
+the cost of a sequence) are cut into longest pieces, the first of which takes what remains; a piece that fills a
+sequence is a sequence of its own. Other pieces are dealt into groups of about ``GROUP`` pieces that are packed
+independently, so a task's memory is bounded and at most one poorly filled sequence is added per group. The hash that
+deals them holds a piece's place in its task, so that repeated rows spread over all groups.
 
 Defined cases: null text is empty (its end id alone); every row is a document, repeated rows too; an empty
-table gives an empty result; further columns are ignored.
+table gives an empty result; further columns are ignored; ids must be numbers, a null id stays null. Very long texts
+are encoded whole, in slices.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -29,10 +32,12 @@ GROUP = 50_000
 #: Weights of tokens, documents and attention cost in the residual norm.
 WEIGHTS = (1.0, 0.01, 0.01)
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+_SALTED = PIECE + ", salt long"
 
 
 def _pieces(path: str, end_id: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
         for batch in batches:
             data, off = text_buffers(batch.column(1))
             ids = batch.column(0).to_pylist()
@@ -48,7 +53,9 @@ def _pieces(path: str, end_id: int, size: int):
                         begin, k = end, k + 1
                     at += total
                 c = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), *(pa.array(x, pa.int64()) for x in c[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                salt = pa.array(np.arange(seen, seen + len(rows)))
+                seen += len(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), *(pa.array(x, pa.int64()) for x in c[2:]), salt], ["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
 
     return run
 
@@ -106,14 +113,19 @@ def pack(
     docs: DataFrame, path: str, end_id: int = 0, tokens: int = 2048, documents: int | None = None, cost: int | None = None,
     weights: tuple[float, float, float] = WEIGHTS, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Capacities left out don't bind."""
+    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    ``documents`` and ``cost`` are capacities of a sequence beside its tokens: pieces, and the sum of their squared
+    lengths. Left out they don't bind, as at most ``tokens`` pieces and ``tokens`` squared fit anyway.
+    """
     documents, cost = documents or tokens, cost or tokens**2
+    longest = min(tokens, math.isqrt(cost))
     common.small_batches(docs.sparkSession)
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    pieces = common.written(base.mapInArrow(_pieces(path, end_id, tokens), PIECE), "pieces")
+    pieces = common.written(base.mapInArrow(_pieces(path, end_id, longest), _SALTED), "pieces")
     n = pieces.where(F.col("length") < tokens).count()
     groups = max(1, round(n / GROUP))
-    full = pieces.where(F.col("length") == tokens).withColumn("sequence_id", F.lit(1 << 62) + F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
-    small = pieces.where(F.col("length") < tokens).withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    full = pieces.drop("salt").where(F.col("length") == tokens).withColumn("sequence_id", F.lit(1 << 62) + F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    small = pieces.where(F.col("length") < tokens).withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "salt"), F.lit(groups))).drop("salt")
     packed = small.groupBy("grp").applyInArrow(_pack(tokens, documents, cost, weights), PIECE + ", sequence_id long, offset long")
     return full.unionByName(packed)
