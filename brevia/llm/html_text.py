@@ -5,11 +5,18 @@ footers, sidebars, notices, adverts, forms, comments by tag, role, class or id),
 stop-word density: good, bad, or short and undecided. The second pass gives each undecided block the label of
 its nearest decided neighbours: both sides where they agree, else the nearer one by blocks; in a tie, or with
 no decided neighbour, it is good inside the article's element and bad elsewhere. Blocks inside that element
-inherit from blocks inside it only. Stop words of several languages are in one list.
+inherit from blocks inside it only, and are bad only where nearly all of their text is links. Stop words of several
+languages are in one list; on a page in another language, where long blocks hold hardly any, length and link
+density decide alone.
+
+Words in class or id that name boilerplate always count; weak ones (such as ``legal`` or ``reader``) count neither
+inside the article nor beside a word that names a main part. Captions, formulas and embedded text are text.
 
 Character references are decoded; white space inside a block becomes one space; blocks are trimmed and joined
 in page order by one space. Nothing is cut off.
 
+One pass over the page, however its tags are nested or left open; very long pages are read whole. Ids must be numbers.
+
 Defined cases: null or empty html gives the empty text; text outside any tag is a block; unclosed tags end
 with their parent or the page; an unended comment, script or tag reaches to the end of the page; repeated rows
 give a row each; an empty table gives an empty result; further columns are ignored.
@@ -20,6 +27,7 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,17 +38,20 @@ from pyspark.sql import functions as F
 from . import common
 
 # Element names by their role, words in class or id, and common function words.
-BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
+BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav noscript ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object select button canvas audio video".split())
-BAD_ELEMENTS = frozenset("nav aside footer form menu dialog fieldset figcaption search".split())
+RAW = frozenset("script style template textarea title iframe svg select button canvas audio video".split())
+BAD_ELEMENTS = frozenset("nav aside footer form menu dialog fieldset search".split())
 CLOSED_BY_BLOCK = frozenset("p".split())
 GOOD_ELEMENTS = frozenset("article main".split())
-BAD_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|promo|promotion|sponsor|sponsored|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|footer|header|masthead|sidebar|side|aside"
-    r"|related|recommended|widget|cookie|cookies|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|comment|comments|reply|replies|respond|disqus|reader"
-    r"|pagination|pager|toolbar|tags|copyright|legal|skip|toc|form)(?:$|[\s_-])"
-)
+_WORD = r"(?:^|[\s_-])(?:%s)(?:$|[\s_-])"
+BAD_WORDS = re.compile(_WORD % (
+    "ad|ads|advert|adverts|advertisement|advertising|banner|promo|promotion|sponsor|sponsored|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|footer|masthead|sidebar"
+    "|related|recommended|widget|cookie|cookies|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|comment|comments|reply|replies|respond|disqus"
+    "|pagination|pager|toolbar|copyright"
+))
+WEAK_WORDS = re.compile(_WORD % "header|side|aside|search|reader|tags|legal|toc|form")
+MAIN_WORDS = re.compile(_WORD % "article|body|content|entry|main|post|story|text")
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 STOP = frozenset(
     "a about after all also an and are as at be been but by can for from had has have he her his if in into is it its more no not of on one or our she so that the their there they this to was we were what when which who will with would you "
@@ -50,6 +61,9 @@ STOP = frozenset(
 )
 SHORT, LONG = 70, 200
 STOP_LOW, STOP_HIGH, LINKS = 0.15, 0.30, 0.33
+#: Link density that makes a block of the article a menu; stop-word density below which the language is unknown.
+ALL_LINKS, NO_STOP = 0.9, 0.05
+ENDS = tuple(".!?…。！？\"»”)")
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
@@ -75,8 +89,9 @@ def _bad(name: str, attributes: str, inside: int) -> bool:
             if m[1].lower() == "role":
                 if value in BAD_ROLES:
                     return True
-            elif name not in ("html", "body", "main", "article") and BAD_WORDS.search(value):
-                return True
+            elif name not in ("html", "body", "main", "article"):
+                if BAD_WORDS.search(value) or inside == 0 and WEAK_WORDS.search(value) and not MAIN_WORDS.search(value):
+                    return True
     return False
 
 
@@ -85,6 +100,7 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     stack: list[tuple[str, int]] = []  # open block elements and their place
+    depth: Counter[str] = Counter()  # how many of each name are open
     place, links, in_link, heading = 0, 0, 0, False
 
     def close() -> None:
@@ -118,9 +134,12 @@ def blocks(page: str) -> list[Block]:
                 in_link = max(0, in_link - 1)
             elif name in BLOCK:
                 close()
-                if any(x[0] == name for x in stack):
-                    while stack.pop()[0] != name:
-                        pass
+                if depth[name]:
+                    while True:
+                        last = stack.pop()[0]
+                        depth[last] -= 1
+                        if last == name:
+                            break
                     place = stack[-1][1] if stack else 0
                     heading, in_link = False, 0
             continue
@@ -137,7 +156,7 @@ def blocks(page: str) -> list[Block]:
             if name in VOID:
                 continue
             if stack and stack[-1][0] in CLOSED_BY_BLOCK:
-                stack.pop()
+                depth[stack.pop()[0]] -= 1
                 place = stack[-1][1] if stack else 0
             if place >= 0:
                 if _bad(name, m[3], place):
@@ -146,32 +165,46 @@ def blocks(page: str) -> list[Block]:
                     place = 1
             heading = len(name) == 2 and name[0] == "h" and name[1].isdigit()
             stack.append((name, place))
+            depth[name] += 1
     close()
     return out
 
 
-def first_pass(b: Block) -> str:
-    """good, bad or short."""
+def stop_density(b: Block) -> float:
+    words = b.text.lower().split()
+    return sum(w.strip(".,;:!?%*#$&()\"'") in STOP for w in words) / len(words)
+
+
+def first_pass(b: Block, known: bool = True) -> str:
+    """good, bad or short; ``known``: whether the stop words are those of the page's language."""
     if b.place < 0:
         return "bad"
     n = len(b.text)
-    if b.link / n > LINKS:
+    if b.link / n > (ALL_LINKS if b.place > 0 else LINKS):
         return "bad"
     if n < SHORT:
-        return "bad" if b.link else "short"
-    words = b.text.lower().split()
-    stop = sum(w.strip(".,;:!?%*#$&()\"'") in STOP for w in words) / len(words)
+        return "bad" if b.link and b.place <= 0 else "short"
     if b.place > 0:
-        return "good"  # a long block without links inside the article's element
+        return "good"  # a long block of text inside the article's element
+    if not known:
+        return "good" if n >= LONG or b.text.endswith(ENDS) else "short"
+    stop = stop_density(b)
     if stop >= STOP_HIGH or stop >= STOP_LOW and n >= LONG:
         return "good"
     return "short" if stop >= STOP_LOW else "bad"
 
 
+def knows_language(found: list[Block]) -> bool:
+    """Whether any long block without many links and outside boilerplate holds stop words, if there is one."""
+    text = [b for b in found if b.place >= 0 and len(b.text) >= SHORT and b.link / len(b.text) <= LINKS]
+    return not text or any(stop_density(b) >= NO_STOP for b in text)
+
+
 def classify(found: list[Block]) -> list[Block]:
     """Both passes; labels good or bad."""
+    known = knows_language(found)
     for b in found:
-        b.label = first_pass(b)
+        b.label = first_pass(b, known)
     # nearest decided blocks to the left and right; inside the article's element only those that are inside too
     for inside in (False, True):
         here = [i for i, b in enumerate(found) if b.place > 0] if inside else range(len(found))
