@@ -206,7 +206,7 @@ def test_hamming_balls_hold_everything_within_the_radius():
         f = int(items.prints[i])
         for b in rng.sample(range(64), rng.randint(0, decontaminate.RADIUS)):
             f ^= 1 << b
-        assert i in items.within(f)
+        assert i in items.within(f, int(items.sizes[i]))
 
 
 # 3 html
@@ -226,7 +226,7 @@ def test_html_neighbours():
     labels = iter([g, s, s, b, s, s])
     html_text_first = html_text.first_pass
     try:
-        html_text.first_pass = lambda x: next(labels)
+        html_text.first_pass = lambda x, known: next(labels)
         assert [x.label for x in html_text.classify(found)] == [g, g, b, b, b, b]
     finally:
         html_text.first_pass = html_text_first
@@ -602,3 +602,131 @@ def test_substring_dedup_with_repeated_rows_null_ids_and_clashing_columns(spark)
     df = spark.createDataFrame(rows, "doc_id long, text string, key string, pos int")
     got = [(r.doc_id, r.start, r.end, r.first_doc_id, r.first_start, r.first_end) for r in substring_dedup.repeated_passages(df).collect()]
     assert got == [(2, 0, 60, 1, 0, 60)]
+
+
+def _bag(text, k=5):
+    w = re.findall(r"[^\W_]+", text.lower())
+    return [tuple(w[i : i + k]) for i in range(len(w) - k + 1)] if len(w) >= k else [tuple(w)] if w else []
+
+
+def test_decontamination_equals_all_windows_by_brute_force(spark):
+    """Every window of an item's size against every item: nothing false, and recall at a similarity of 0.8 or more, short items too."""
+    rng = random.Random(12)
+    draw = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    items = {i: draw(rng.choice((5, 9, 13, 14, 20, 40, 60))) for i in range(40)}
+    items |= {40 + i: items[0] + draw(30) for i in range(3)}  # items that share shingles
+    texts = {}
+    for d in range(400):
+        w = list(items[rng.randrange(43)])
+        for _ in range(rng.choice((0, 1, 1, 2, 3))):
+            at = rng.randrange(len(w))
+            w[at : at + 1] = rng.choice(([], ["new"], [w[at], "new"]))
+        texts[d] = " ".join(draw(rng.randrange(40)) + w + draw(rng.randrange(40)))
+    want = {}
+    bags = {i: Counter(_bag(" ".join(w))) for i, w in items.items()}
+    for d, text in texts.items():
+        h = _bag(text)
+        for i, bag in bags.items():
+            size = min(sum(bag.values()), len(h))
+            best = 0.0
+            for at in range(len(h) - size + 1) if size else ():
+                own = Counter(h[at : at + size])
+                inter = sum((own & bag).values())
+                best = max(best, inter / (size + sum(bag.values()) - inter))
+            if best >= 0.8:
+                want[d, i] = best
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), bench).collect()}
+    recall = len(set(got) & set(want)) / len(want)
+    print(f"recall of windows: {recall:.3f} of {len(want)}")
+    assert set(got) <= set(want) and len(want) > 100 and recall >= 0.98
+    assert sum(abs(got[x] - want[x]) < 1e-9 for x in got) >= 0.98 * len(got)
+
+
+def test_keep_clean_judges_rows_without_an_id_and_keeps_clashing_columns(spark):
+    item = words(random.Random(3), 30, 9**9)
+    rows = [(1, "x " + item, 0.5), (2, "clean text", 0.5), (None, item + " y", 0.5), (None, "clean too", 0.5), (None, None, None), (2, "clean text", 0.1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, similarity double")
+    bench = spark.createDataFrame([(5, item)], "item_id long, text string")
+    out = decontaminate.keep_clean(df, bench)
+    assert out.columns == df.columns and sorted(map(str, out.collect())) == sorted(str(r) for r in df.collect() if r.text is None or item not in r.text)
+    assert sorted(map(str, decontaminate.keep_clean(df, bench.limit(0)).collect())) == sorted(map(str, df.collect()))
+
+
+@pytest.mark.parametrize("limits", [{}, {"documents": 3, "cost": 1500}])
+def test_packing_covers_every_document_under_every_capacity(spark, corpus, limits, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "GROUP", 100)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(r[0], r[1]) for r in corpus] + [(77_777, "one text in many rows of one id")] * 500
+    tok = Tokenizer.from_file(path)
+    ids = {r: np.array(tok.encode(r[1] or "", add_special_tokens=False).ids + [0], "<u4") for r in set(rows)}
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), path, 0, tokens=64, **limits).collect()
+    longest = 38 if limits else 64
+    want = Counter()
+    for r in rows:
+        n, begin, k = len(ids[r]), 0, 0
+        while begin < n:
+            end = begin + (n % longest or longest) if k == 0 else begin + longest
+            want[r[0], k, begin, end - begin, zlib.crc32(ids[r][begin:end].tobytes())] += 1
+            begin, k = end, k + 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for own in bins.values():
+        own.sort()
+        assert [o for o, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))] and sum(n for _, n in own) <= 64
+        assert not limits or len(own) <= 3 and sum(n * n for _, n in own) <= 1500
+    groups = Counter(r.sequence_id >> 32 for r in got if r.doc_id == 77_777)
+    assert len(groups) > 1 and max(groups.values()) < 0.6 * 500  # repeated rows are dealt over the groups
+    if not limits:
+        # one poorly filled sequence a group at most
+        assert len(bins) <= -(-sum(r.length for r in got) // 64) * 1.01 + len({r.sequence_id >> 32 for r in got if r.length < 64})
+
+
+def test_html_keeps_what_belongs_to_the_article():
+    long = "This is a paragraph of the article that is long enough to be decided by its own length and its words, as it has to be. "
+    assert html_text.main_text(f'<body><div class="reader-content"><p>{long}</p><p>{long}</p></div></body>') == f"{long}{long}".strip()
+    assert html_text.main_text(f'<article><p>{long}</p><section class="legal"><p>{long}</p></section></article>') == f"{long}{long}".strip()
+    assert html_text.main_text(f"<article><p>{long}</p><figure><figcaption>A caption.</figcaption></figure><p>See <a href=x>the guide</a>.</p><p>{long}</p></article>") == f"{long}A caption. See the guide. {long}".strip()
+    assert html_text.main_text(f"<article><p>{long}</p><p>Energy is <math><mi>E</mi></math> here.</p></article>") == f"{long}Energy is E here."
+    assert html_text.main_text(f'<article><p>{long}</p><ul><li><a href=a>Home</a></li><li><a href=b>News</a></li></ul><div class="ad">Buy now</div></article>') == long.strip()
+    russian = "Это довольно длинный абзац на языке, слов которого нет в списке, и поэтому решает его длина. "
+    page = f'<body><nav><a href=x>Главная</a></nav><div><p>{russian}</p><p>{russian}</p></div><div class="footer">Все права</div></body>'
+    assert html_text.main_text(page) == f"{russian}{russian}".strip()
+
+
+def test_html_time_is_linear_in_nesting():
+    import time
+
+    page = "<div>" * 60_000 + "</p>" * 60_000 + "text " * 50_000 + "</span>" * 20_000
+    began = time.time()
+    html_text.main_text(page)
+    assert len(page) > 900_000 and time.time() - began < 2
+
+
+def test_html_repeated_rows_and_empty_table(spark):
+    schema = "page_id long, url string, html string"
+    df = spark.createDataFrame([(1, "u", "<article>a</article>")] * 3 + [(None, None, "<article>b</article>")], schema)
+    assert sorted((r.page_id or 0, r.text, r.n_chars) for r in html_text.extract(df).collect()) == [(0, "b", 1)] + [(1, "a", 1)] * 3
+    assert html_text.extract(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_token_counts_of_texts_without_a_border():
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(signs) for _ in range(n)) for signs in ("abcdefgh", "ab", "é中a") for n in (511, 512, 513, 5000)] + ["a" * 3000, "x " + "abcabc" * 600 + " y", "z" * 1025 + " " + "z" * 2049]
+    model = [len(x) for x in sentencepiece.SentencePieceProcessor(model_file=path).encode(texts)]
+    assert token_counts.transducer(path).count(texts).tolist() == model
+
+
+@pytest.mark.parametrize("run", [lambda d: token_counts.token_counts(d, public_tokenizers.path("piece_bpe_32k.model")), lambda d: packing.pack(d, public_tokenizers.path("byte_bpe_50k.json")), language_id.language_report, minhash_dedup.near_groups, exact_dedup.dedup_report])
+def test_null_ids_repeated_rows_and_clashing_columns(spark, run):
+    names = "doc_id long, text string, lang string, n long, `key` long, piece int, id long, cls long, length string, salt string, grp string"
+    rows = [(1, "hello there world", "en", 1, 1, 1, 1, 1, "a", "b", "c")] * 2 + [(None, "hello", "en", None, None, None, None, None, None, None, None), (3, None, None, 0, 0, 0, 0, 0, "", "", "")]
+    got = run(spark.createDataFrame(rows, names)).collect()
+    assert {r.doc_id for r in got} - {None} == {1, 3}
