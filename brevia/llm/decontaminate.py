@@ -73,16 +73,25 @@ class Items:
         self.index = HashIndex()
         self.index.add(np.unique(h))
         self.prints = np.array([fingerprints(x, len(x))[0] if len(x) else 0 for x in self.h], U)
-        # ball[b][v]: items whose block b is within RADIUS // BLOCKS bits of v
+        # near[size][b][v]: bits of the items of a size whose block b is within RADIUS // BLOCKS bits of v
         value = np.arange(256, dtype=np.uint8)
-        blocks = self.prints.view(np.uint8).reshape(-1, 8) if len(ids) else np.zeros((0, 8), np.uint8)
-        self.ball = [[np.flatnonzero(np.bitwise_count(blocks[:, b] ^ v) <= RADIUS // BLOCKS) for v in value] for b in range(BLOCKS)]
-
-    def within(self, fingerprint: int, size: int) -> np.ndarray:
-        """All items of ``size`` shingles within RADIUS of a fingerprint."""
-        near = np.unique(np.concatenate([self.ball[b][(fingerprint >> (8 * b)) & 255] for b in range(BLOCKS)]))
-        near = near[self.sizes[near] == size]
-        return near[np.bitwise_count(self.prints[near] ^ U(fingerprint)) <= RADIUS]
+        self.of_size = {size: np.flatnonzero(n == size) for size in self.distinct_sizes}
+        self.near = {}
+        for size, own in self.of_size.items():
+            blocks = self.prints[own].view(np.uint8).reshape(-1, 8)
+            self.near[size] = np.stack([np.packbits(np.bitwise_count(blocks[None, :, b] ^ value[:, None]) <= RADIUS // BLOCKS, axis=1) for b in range(BLOCKS)])
+
+    def within(self, prints: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the fingerprint, item) of all items of ``size`` shingles within RADIUS of a fingerprint, by place."""
+        blocks, near, own = prints.view(np.uint8).reshape(-1, 8), self.near[size], self.of_size[size]
+        mask = near[0][blocks[:, 0]]
+        for b in range(1, BLOCKS):
+            mask = mask | near[b][blocks[:, b]]
+        hit = np.flatnonzero(mask.any(1))
+        at, item = np.nonzero(np.unpackbits(mask[hit], axis=1, count=len(own)))
+        at, item = hit[at], own[item]
+        ok = np.bitwise_count(self.prints[item] ^ prints[at]) <= RADIUS
+        return at[ok], item[ok]
 
     def matches(self, h: np.ndarray, known: np.ndarray, least: float) -> Iterator[tuple[int, float, int, int]]:
         """(item, similarity, first shingle, end) of the best window of each item in one text; known: which shingles some item has."""
@@ -92,17 +101,17 @@ class Items:
             size = min(item_size, len(h))
             need = math.ceil(least * (size + item_size) / (1 + least) - 1e-9)
             if need > min(size, int(count[-1])):
-                continue
+                break  # larger items need more
             first = np.flatnonzero(count[size:] - count[:-size] >= need)
             # runs of neighbouring windows share one pass over their shingles
             for run in np.split(first, np.flatnonzero(np.diff(first) > 1) + 1) if len(first) else ():
                 for lo in range(int(run[0]), int(run[-1]) + 1, WINDOWS):
                     part = h[lo : min(lo + WINDOWS, int(run[-1]) + 1) + size - 1]
-                    for at, f in enumerate(fingerprints(part, size).tolist()):
-                        found = self.within(f, item_size).tolist()
-                        bag = Counter(part[at : at + size].tolist()) if found else None
-                        for i in found:
-                            best[i] = max(best.get(i, (0.0, 0, 0)), (weighted(bag, self.bags[i]), -(lo + at), size))
+                    bag, last = None, -1
+                    for at, i in zip(*(x.tolist() for x in self.within(fingerprints(part, size), item_size))):
+                        if at != last:
+                            bag, last = Counter(part[at : at + size].tolist()), at
+                        best[i] = max(best.get(i, (0.0, 0, 0)), (weighted(bag, self.bags[i]), -(lo + at), size))
         for i, (sim, at, size) in sorted(best.items()):
             if sim >= least:
                 yield i, sim, -at, -at + size

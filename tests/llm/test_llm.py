@@ -206,7 +206,7 @@ def test_hamming_balls_hold_everything_within_the_radius():
         f = int(items.prints[i])
         for b in rng.sample(range(64), rng.randint(0, decontaminate.RADIUS)):
             f ^= 1 << b
-        assert i in items.within(f, int(items.sizes[i]))
+        assert i in items.within(np.array([f], np.uint64), int(items.sizes[i]))[1]
 
 
 # 3 html
