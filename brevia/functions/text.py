@@ -57,6 +57,18 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(P.TERM), F.lit(0))
 
 
+def container(text: Column) -> Column:
+    """VARIANT of a text that is one JSON object or array and nothing else, null of any other.
+
+    The parser ignores what follows the first value, so the text is read inside an object, which a further ']' or
+    value breaks, and inside an array, which a further '}' breaks.
+    """
+    body = F.regexp_replace(text, r"^\s+|\s+$", "")
+    body = F.when(body.startswith("{") & body.endswith("}") | body.startswith("[") & body.endswith("]"), body)
+    own = F.try_parse_json(F.concat(F.lit('{"v":'), body, F.lit("}")))
+    return F.when(F.try_parse_json(F.concat(F.lit("["), body, F.lit("]"))).isNotNull(), F.try_variant_get(own, "$.v", "variant"))
+
+
 def strip_space(text: Column) -> Column:
     return F.translate(text, " \t\r\n", "")
 

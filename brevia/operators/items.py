@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import patterns as P
+from ..functions import text as X
 from ..functions.arrays import ERROR_WORDS
 
 
@@ -46,6 +48,27 @@ def column_cells(rows: DataFrame, key: str, idx: Column, columns: list[str]) ->
     return rows.select(F.col(key), idx.alias("item_idx"), F.explode(F.array(*cells)).alias("_c")).select(key, "item_idx", "_c.*")
 
 
+#: Bytes from which a string is long, and from which it may be opaque; share of base64 signs above which it is.
+LONG_STRING, OPAQUE, OPAQUE_SHARE = 100, 500, 0.8
+
+
+def cell_class(kind: Column, value: Column, number: Column) -> Column:
+    """Class of a cell: null, bool, int, float, array, object, or for strings uuid, url, opaque, long_string, short_string."""
+    size = F.octet_length(value)
+    signs = F.length(F.regexp_replace(value, r"[^A-Za-z0-9+/=]", ""))
+    text = (
+        F.when(value.rlike(rf"^{P.UUID}$"), "uuid").when(value.startswith("http://") | value.startswith("https://"), "url")
+        .when((size >= OPAQUE) & (signs > OPAQUE_SHARE * size), "opaque").when(size >= LONG_STRING, "long_string").otherwise("short_string")
+    )
+    whole = F.when(number == F.floor(number), "int").otherwise("float")
+    return F.when(value.isNull() | (kind == "null"), "null").when(kind == "boolean", "bool").when(kind == "numeric", whole).when(kind.isin("array", "object"), kind).otherwise(text)
+
+
+def json_container(text: Column) -> Column:
+    """VARIANT of a string that holds a JSON object or array, null of any other."""
+    return X.container(text)
+
+
 def profile(cells: DataFrame, sizes: DataFrame, key: str = "doc_id") -> DataFrame:
     """Per field: n (items, missing ones too), type of the first value, distinct forms (missing counts as one), moments.
 

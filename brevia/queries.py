@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import codetext
 from .functions import hashing as H
 from .functions import importance as I
 from .functions import patterns as P
@@ -631,19 +632,52 @@ def request_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT substr(sha256(text), 1, 24) AS hash, md5(text) AS payload_md5 FROM documents WHERE text IS NOT NULL GROUP BY ALL")
 def ccr_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Payloads put under their keys and read back by a join."""
-    from .sources.store import keyed, live
+    """Payloads put into a store under their keys and got back by their keys."""
+    from .sources.store import FolderStore, keyed, scratch
 
     d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    stored = live(keyed(d), ttl=3600)
-    return stored.select("hash", F.md5("payload").alias("payload_md5"))
-
-
-@query("SELECT doc_id, (length(text) - length(replace(text, 'the', ''))) // 3 AS n_the FROM documents WHERE text IS NOT NULL")
-def hint_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Occurrences of a mark by lengths, as the language hints of code count them."""
-    t = F.col("text")
-    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", ((F.length(t) - F.length(F.replace(t, F.lit("the"), F.lit("")))) / 3).cast("long").alias("n_the"))
+    store = FolderStore(spark, scratch(spark, "payloads"), ttl=3600, capacity=None)
+    store.put(keyed(d))
+    keys = d.select(H.payload_key(F.col("text")).alias("hash")).distinct()
+    return store.get(keys).select("hash", F.md5("payload").alias("payload_md5"))
+
+
+_HINTS_SQL = ", ".join(
+    "[" + " + ".join(f"(length(text) - length(replace(text, {q(h)}, ''))) // {len(h)}" for h in hints) + f", -{i}]" for i, hints in enumerate(codetext.HINTS.values())
+)
+
+
+@query(f"""WITH b AS (SELECT doc_id, list_max([{_HINTS_SQL}]) AS b FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CASE WHEN b[1] > 0 THEN ([{", ".join(q(n) for n in codetext.HINTS)}])[1 - b[2]] ELSE 'unknown' END AS language FROM b""")
+def code_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The programming language whose hints a text holds most."""
+    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", codetext.language_column(F.col("text")).alias("language"))
+
+
+@query(r"""SELECT 'documents' AS source, doc_id AS id, CASE WHEN text IS NULL THEN 'null' WHEN text LIKE 'http://%' OR text LIKE 'https://%' THEN 'url'
+  WHEN octet_length(encode(text)) >= 500 AND length(regexp_replace(text, '[^A-Za-z0-9+/=]', '', 'g')) > 0.8 * octet_length(encode(text)) THEN 'opaque' WHEN octet_length(encode(text)) >= 100 THEN 'long_string' ELSE 'short_string' END AS class FROM documents
+UNION ALL SELECT 'hashes', doc_id, CASE WHEN text IS NULL THEN 'null' ELSE 'uuid' END FROM documents
+UNION ALL SELECT 'pages', page_id, CASE WHEN url IS NULL THEN 'null' WHEN url LIKE 'http://%' OR url LIKE 'https://%' THEN 'url' WHEN octet_length(encode(url)) >= 100 THEN 'long_string' ELSE 'short_string' END FROM pages
+UNION ALL SELECT 'orders', o_orderkey, CASE WHEN o_totalprice = floor(o_totalprice) THEN 'int' ELSE 'float' END FROM orders""")
+def cell_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of texts, of their hashes in the form of a UUID, of addresses and of prices."""
+    none = F.lit(None).cast("double")
+    d, o = table(spark, sf_dir, "documents"), table(spark, sf_dir, "orders")
+    m = F.md5("text")
+    uuid = F.concat_ws("-", *(F.substring(m, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+    row = lambda t, source, key, kind, value, number: t.select(F.lit(source).alias("source"), F.col(key).alias("id"), items.cell_class(F.lit(kind), value, number).alias("class"))
+    out = row(d, "documents", "doc_id", "string", F.col("text"), none).union(row(d, "hashes", "doc_id", "string", F.when(m.isNotNull(), uuid), none))
+    return out.union(row(table(spark, sf_dir, "pages"), "pages", "page_id", "string", F.col("url"), none)).union(row(o, "orders", "o_orderkey", "numeric", F.col("o_totalprice").cast("string"), F.col("o_totalprice").cast("double")))
+
+
+@query("""WITH p AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN ' [' || props || '] ' WHEN 2 THEN event_type ELSE props || '}' END AS t FROM events)
+SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'OBJECT' WHEN event_id % 4 = 1 THEN 'ARRAY' ELSE 'none' END AS kind FROM p""")
+def container_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which strings hold a JSON container: properties, arrays of them, plain words, unbalanced ones."""
+    k, p = F.col("event_id") % 4, F.col("props")
+    text = F.when(k == 0, p).when(k == 1, F.concat(F.lit(" ["), p, F.lit("] "))).when(k == 2, F.col("event_type")).otherwise(F.concat(p, F.lit("}")))
+    v = F.schema_of_variant(items.json_container(text))
+    return table(spark, sf_dir, "events").select("event_id", F.when(v.startswith("OBJECT"), "OBJECT").when(v.startswith("ARRAY"), "ARRAY").otherwise("none").alias("kind"))
 
 
 @query()

@@ -6,6 +6,8 @@ the keys that were first put last (first in, first out; putting a key again refr
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -28,6 +30,16 @@ class Store(Protocol):
     def size(self, now: Column | None = None) -> int: ...
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for a store in the folder that driver and executors share; a temporary one only in a local session without it."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="stores-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def keyed(blocks: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows of the store for blocks of text, put now."""
     return blocks.select(payload_key(F.col(text_col)).alias("hash"), F.col(text_col).alias("payload"), F.current_timestamp().alias("inserted_at"))

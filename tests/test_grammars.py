@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from brevia.functions import codetext, hits, sizing
-from brevia.operators import compress, detect, lines, relevance
+from brevia.functions import text as X
+from brevia.operators import compress, detect, items, lines, relevance
 
 HITS = [
     ("a.py:12:x = 1", ("a.py", 12, "x = 1")), ("a.py-12-x", ("a.py", 12, "x")), (r"C:\src\a.py:7:y", (r"C:\src\a.py", 7, "y")), ("C:/src/a.py-7:y", ("C:/src/a.py", 7, "y")),
@@ -48,13 +49,13 @@ def test_language_column_equals_the_kernel(spark):
 
 
 def test_clusters_equal_the_greedy_model():
-    items = [f"line {i % 37} of the {'log' if i % 3 else 'report'} with value {i % 11}" for i in range(300)]
+    rows = [f"line {i % 37} of the {'log' if i % 3 else 'report'} with value {i % 11}" for i in range(300)]
     reps: list[int] = []
-    for x in dict.fromkeys(items):
+    for x in dict.fromkeys(rows):
         f = sizing.simhash(x)
         if not any((r ^ f).bit_count() <= sizing.SAME for r in reps):
             reps.append(f)
-    assert sizing.clusters(items) == len(reps)
+    assert sizing.clusters(rows) == len(reps)
 
 
 def test_simhash_after_the_table_of_grams_was_emptied(monkeypatch):
@@ -88,3 +89,21 @@ def test_tiered_detection(spark):
     df = spark.createDataFrame([("import os\n", "source_code", False), ("prose", "text", True), ("prose", None, False), (" ", "html", True)], "text string, model string, diff boolean")
     got = [(r.found.content_type, r.found.confidence, r.found.tier) for r in detect.tiered(df, F.col("text"), F.col("model"), F.col("diff")).collect()]
     assert got == [("source_code", 0.9, 1), ("diff", 0.95, 2), ("text", 0.5, 3), ("text", 0.0, 3)]
+
+
+def test_json_containers(spark):
+    texts = {"[1]": "ARRAY", ' {"a": [1]}\n': "OBJECT", "[1]]": None, '{"a":1}}': None, "[1] and prose": None, "[1] see [2]": None, "[1],[2]": None, '{"a":1},"b":{}': None, "[]": "ARRAY", "{}": "OBJECT", "[": None, "word": None, "12": None, "": None}
+    got = spark.createDataFrame([(k,) for k in texts], "t string").select("t", F.regexp_extract(F.schema_of_variant(X.container(F.col("t"))), "^[A-Z]+", 0)).collect()
+    assert {a: b or None for a, b in got} == texts
+    notes = spark.createDataFrame([("[1] see the notes",), ("[1, 2]",), ('[{"a":1}, {"a":2}]',)], "text string")
+    assert [(r.content_type, r.confidence) for r in detect.classify(notes).collect()] == [("text", 0.5), ("json_array", 0.8), ("json_array", 1.0)]
+
+
+def test_cell_classes(spark):
+    cells = [
+        ("null", None, None, "null"), ("boolean", "true", None, "bool"), ("numeric", "3", 3.0, "int"), ("numeric", "3.5", 3.5, "float"), ("array", "[1]", None, "array"), ("object", "{}", None, "object"),
+        ("string", "123e4567-e89b-12d3-a456-426614174000", None, "uuid"), ("string", "https://a.b/c", None, "url"), ("string", "Ab9/" * 125, None, "opaque"), ("string", "word, " * 90, None, "long_string"),
+        ("string", "Ab9/" * 124, None, "long_string"), ("string", "x" * 99, None, "short_string"), ("string", "", None, "short_string"),
+    ]
+    got = spark.createDataFrame(cells, "kind string, value string, number double, want string").select(items.cell_class(F.col("kind"), F.col("value"), F.col("number")).alias("got"), "want").collect()
+    assert [r.got for r in got] == [r.want for r in got]
