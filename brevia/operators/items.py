@@ -198,12 +198,14 @@ def pair_curve(rows: DataFrame, text: Column, key: str, idx: str) -> DataFrame:
 
     Words are made by one projection and pairs by zipping two of its slices. A column that a lambda refers to is
     computed again for every element once the optimizer has merged the projections; an explode between them keeps
-    them apart. Pairs are made distinct within a row before the shuffle.
+    them apart. Pairs are known by 96 bits of two hashes, so that the aggregate that finds their first rows, before
+    and after its shuffle, has keys of fixed width.
     """
     words = rows.select(key, idx, F.explode(F.array(F.split(F.trim(F.regexp_replace(F.lower(text), r"[ \t\n\r]+", " ")), " "))).alias("w"))
     n = F.size("w")
     pairs = F.when(n > 1, F.zip_with(F.slice("w", 1, F.greatest(n - 1, F.lit(0))), F.slice("w", 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.col("w"))
-    first = words.select(key, idx, F.explode(F.array_distinct(pairs)).alias("pair")).groupBy(key, "pair").agg(F.min(idx).alias(idx))
+    hashed = words.select(key, idx, F.explode(pairs).alias("pair")).select(key, idx, F.xxhash64("pair").alias("_h"), F.hash("pair").alias("_g"))
+    first = hashed.groupBy(key, "_h", "_g").agg(F.min(idx).alias(idx))
     new = first.groupBy(key, idx).agg(F.count("*").alias("new"))
     every = rows.select(key, idx).join(new, [key, idx], "left")
     return every.withColumn("distinct_pairs", F.sum(F.coalesce("new", F.lit(0))).over(Window.partitionBy(key).orderBy(idx))).drop("new")
