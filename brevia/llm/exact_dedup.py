@@ -8,9 +8,13 @@ by successive bytes until every group is a single text or has ended.
 Copies that one task meets collapse before the shuffle, so that a group with a third of all rows arrives as
 about one row per task; rows of a group never meet in one task, only their representatives do.
 
+A path's bodies are split within a fixed budget of bytes. The rows, tagged, and the roots are written to the shared
+folder; the result reads them, so they stay until that folder is cleaned.
+
 Defined cases: null text counts as empty; empty texts are one group; repeated rows (same id and text) count
-as separate rows, of which one stays; null ids are allowed and sort last on ties; an empty table gives an
-empty result; other columns, whatever their names, are carried along in the struct ``row``.
+as separate rows, of which one stays; ids are of any ordered type; null ids are allowed and sort last on ties; very
+long texts are split like others, one at a time if they exceed the budget; an empty table gives an empty result;
+other columns, whatever their names, are carried along in the struct ``row``.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ WHITE = b" \t\n\x0b\x0c\r"
 LEVELS = (16, 128, 1024, 8192, 65536)
 #: A task forgets the texts that it has seen once they hold so many bytes.
 SEEN_BYTES = 24 << 20
+#: Bytes of the bodies that are split by successive bytes at once.
+BUCKET_BYTES = 32 << 20
 
 
 def normalised(col: pa.Array) -> list[bytes]:
@@ -126,10 +132,14 @@ def radix_groups(items: list[tuple[bytes, int]]) -> Iterator[list[int]]:
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by path; each path's rows are split by their further bytes."""
-    path, rows = None, []
+    """Rows come sorted by body, so those of a path follow each other; each path's rows are split by their further bytes.
+
+    A path whose bodies exceed ``BUCKET_BYTES`` is split in several goes: all but the copies of the last body are
+    settled, as no later body is equal to them.
+    """
+    path, rows, held = None, [], 0
 
-    def flush():
+    def flush(rows: list[tuple[bytes, int]]) -> pa.RecordBatch:
         rep, root = [], []
         for group in radix_groups(rows):
             rep += group
@@ -141,13 +151,19 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p, uid, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             if p != path:
                 if rows:
-                    out.append(flush())
-                path, rows = p, []
+                    out.append(flush(rows))
+                path, rows, held = p, [], 0
+            elif rows[-1][0] == body:
+                body = rows[-1][0]  # copies share one object and cost no bytes
+            elif held > BUCKET_BYTES:
+                out.append(flush(rows))
+                rows, held = [], 0
+            held += 0 if rows and rows[-1][0] is body else len(body) + 100
             rows.append((body, uid))
         if out:
             yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
     if rows:
-        yield flush()
+        yield flush(rows)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,15 +196,15 @@ def _decide(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
         reps.select("uid", F.col(f"row.`{text_col}`").alias("text"))
         .mapInArrow(_paths(heavy), "path binary, uid long, body binary")
         .repartition("path")
-        .sortWithinPartitions("path")
+        .sortWithinPartitions("body")
         .mapInArrow(_groups, "rep long, root long")
     )
     roots = common.written(roots, "roots")
     # best row of a group: by representative first, then by group; both aggregates combine before their shuffle
-    best = F.max(F.struct("n_cp", (-F.col("id")).alias("neg"), (-F.col("uid")).alias("u"))).alias("best")
+    best = F.min(F.struct((-F.col("n_cp")).alias("less"), F.col("id").isNull().alias("no_id"), "id", "uid")).alias("best")
     by_rep = tagged.select("uid", "rep", "n_cp", F.col(f"row.`{id_col}`").alias("id")).groupBy("rep").agg(best, F.count("*").alias("size"))
-    by_root = by_rep.join(roots, "rep").groupBy("root").agg(F.max("best").alias("best"), F.sum("size").alias("size"))
-    decided = roots.join(by_root, "root").select("rep", "root", (-F.col("best.neg")).alias("keep_id"), (-F.col("best.u")).alias("keep_uid"), F.col("size").alias("group_size"))
+    by_root = by_rep.join(roots, "rep").groupBy("root").agg(F.min("best").alias("best"), F.sum("size").alias("size"))
+    decided = roots.join(by_root, "root").select("rep", "root", F.col("best.id").alias("keep_id"), F.col("best.uid").alias("keep_uid"), F.col("size").alias("group_size"))
     return tagged, decided
 
 
@@ -202,5 +218,6 @@ def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with the columns of docs."""
     tagged, decided = _decide(docs, id_col, text_col)
+    # the few rows that go are written, so that the whole rows meet ids alone and are not shuffled
     gone = common.written(tagged.select("uid", "rep").join(decided.select("rep", "keep_uid"), "rep").where("uid <> keep_uid").select("uid"), "gone")
     return common.keyed_filter(tagged, gone, "uid", "left_anti").select("row.*")

@@ -106,6 +106,28 @@ def test_radix_levels_with_long_shared_prefixes(spark, monkeypatch):
     assert exact_dedup.keep_first(df).count() == len(count)
 
 
+@pytest.mark.parametrize("budget", [0, 300, 1 << 20])
+def test_buckets_beyond_the_budget_are_split_in_goes(monkeypatch, budget):
+    monkeypatch.setattr(exact_dedup, "BUCKET_BYTES", budget)
+    rng = random.Random(11)
+    bodies = sorted(b"shared" + bytes(rng.choices(b"ab", k=rng.randint(0, 4))) for _ in range(200))
+    batch = pa.RecordBatch.from_arrays([pa.array([b[:6] for b in bodies]), pa.array(range(200), pa.int64()), pa.array(bodies)], ["path", "uid", "body"])
+    got = {}
+    for out in exact_dedup._groups(iter([batch.slice(i, 7) for i in range(0, 200, 7)])):
+        got |= dict(zip(out.column(0).to_pylist(), out.column(1).to_pylist()))
+    assert got == {i: bodies.index(b) for i, b in enumerate(bodies)}
+
+
+def test_exact_dedup_takes_ids_of_any_order(spark):
+    low = -(1 << 63)
+    got = exact_dedup.dedup_report(spark.createDataFrame([(low, "a b"), (None, "ab "), (3, "a\tb"), (1, None), (1, "")], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.keep_id, r.group_size, r.kept) for r in got) == [
+        (False, low, low, 3, True), (False, 1, 1, 2, False), (False, 1, 1, 2, True), (False, 3, low, 3, False), (True, 0, low, 3, False)
+    ]
+    got = exact_dedup.dedup_report(spark.createDataFrame([("x", "same"), ("b", "same"), ("c", "sa me")], "doc_id string, text string"))
+    assert {(r.doc_id, r.keep_id, r.kept) for r in got.collect()} == {("x", "c", False), ("b", "c", False), ("c", "c", True)}
+
+
 def test_radix_groups_model():
     rng = random.Random(2)
     rows = [(bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 5))), i) for i in range(300)]
