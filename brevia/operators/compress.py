@@ -4,6 +4,8 @@ Each function takes columns and gives a struct column. Kernels see one block at
 one Arrow batch. Blocks that a compressor does not apply to should be filtered out or passed as null before:
 Python functions are barriers for predicates. They are declared not deterministic, so that a filter on their
 result is not pushed below them, which would run them twice.
+
+Queries and biases are values or columns: every row may have its own. A null query is an empty one, a null bias is 1.
 """
 
 from __future__ import annotations
@@ -25,18 +27,34 @@ def _rows(text: pd.Series, f: Callable[[str], dict], columns: list[str]) -> pd.D
     return pd.DataFrame([dict.fromkeys(columns) if t is None else f(t) for t in text], columns=columns)
 
 
-def logs(text: Column, bias: float = 1.0, rules: LogRules = LogRules(), store: bool = False) -> Column:
+def _column(value: Column | str | float) -> Column:
+    return value if isinstance(value, Column) else F.lit(value)
+
+
+def _query(value: Column | str) -> Column:
+    return F.coalesce(_column(value), F.lit(""))
+
+
+def _bias(value: Column | float) -> Column:
+    return F.coalesce(_column(value).cast("double"), F.lit(1.0))
+
+
+def _with(text: pd.Series, f: Callable[..., dict], columns: list[str], *given: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([dict.fromkeys(columns) if t is None else f(t, *g) for t, *g in zip(text, *given)], columns=columns)
+
+
+def logs(text: Column, bias: Column | float = 1.0, rules: LogRules = LogRules(), store: bool = False) -> Column:
     columns = ["compressed", "lines_in", "lines_out", "format", "errors", "fails", "warnings", "info", "key"]
 
     @F.pandas_udf("compressed string, lines_in int, lines_out int, format string, errors int, fails int, warnings int, info int, key string")
-    def run(text: pd.Series) -> pd.DataFrame:
-        def one(t: str) -> dict:
-            r = loglines.compress(t, bias, rules, store)
+    def run(text: pd.Series, bias: pd.Series) -> pd.DataFrame:
+        def one(t: str, b: float) -> dict:
+            r = loglines.compress(t, b, rules, store)
             return {"compressed": r.text, "lines_in": r.lines_in, "lines_out": r.lines_out, "format": r.format, "key": r.key} | {k: r.stats.get(k, 0) for k in columns[4:8]}
 
-        return _rows(text, one, columns)
+        return _with(text, one, columns, bias)
 
-    return run.asNondeterministic()(text)
+    return run.asNondeterministic()(text, _bias(bias))
 
 
 def trace_lines(lines: Column, most: int = 20) -> Column:
@@ -49,14 +67,14 @@ def trace_lines(lines: Column, most: int = 20) -> Column:
     return run.asNondeterministic()(lines)
 
 
-def diffs(text: Column, query: str = "", rules: DiffRules = DiffRules()) -> Column:
+def diffs(text: Column, query: Column | str = "", rules: DiffRules = DiffRules()) -> Column:
     columns = ["compressed", "lines_in", "lines_out", "files", "additions", "deletions", "hunks_kept", "hunks_removed", "key"]
 
     @F.pandas_udf("compressed string, lines_in int, lines_out int, files int, additions int, deletions int, hunks_kept int, hunks_removed int, key string")
-    def run(text: pd.Series) -> pd.DataFrame:
-        return _rows(text, lambda t: (lambda d: d | {"compressed": d.pop("text")})(asdict(difftext.compress(t, query, rules))), columns)
+    def run(text: pd.Series, query: pd.Series) -> pd.DataFrame:
+        return _with(text, lambda t, q: (lambda d: d | {"compressed": d.pop("text")})(asdict(difftext.compress(t, q, rules))), columns, query)
 
-    return run.asNondeterministic()(text)
+    return run.asNondeterministic()(text, _query(query))
 
 
 def diff_noise(text: Column) -> Column:
@@ -67,22 +85,24 @@ def diff_noise(text: Column) -> Column:
     return run.asNondeterministic()(text)
 
 
-def search(text: Column, query: str = "", bias: float = 1.0, rules: HitRules = HitRules()) -> Column:
+def search(text: Column, query: Column | str = "", bias: Column | float = 1.0, rules: HitRules = HitRules()) -> Column:
     columns = ["compressed", "hits_in", "hits_out", "files", "key"]
 
     @F.pandas_udf("compressed string, hits_in int, hits_out int, files int, key string")
-    def run(text: pd.Series) -> pd.DataFrame:
-        return _rows(text, lambda t: (lambda d: d | {"compressed": d.pop("text")})(asdict(hits.compress(t, query, bias, rules))), columns)
+    def run(text: pd.Series, query: pd.Series, bias: pd.Series) -> pd.DataFrame:
+        return _with(text, lambda t, q, b: (lambda d: d | {"compressed": d.pop("text")})(asdict(hits.compress(t, q, b, rules))), columns, query, bias)
 
-    return run.asNondeterministic()(text)
+    return run.asNondeterministic()(text, _query(query), _bias(bias))
 
 
-def crush(text: Column, query: str = "", bias: float = 1.0, rules: arrays.Rules = arrays.Rules()) -> Column:
+def crush(text: Column, query: Column | str = "", bias: Column | float = 1.0, rules: arrays.Rules = arrays.Rules()) -> Column:
+    columns = ["compressed", "was_modified", "strategy"]
+
     @F.pandas_udf("compressed string, was_modified boolean, strategy string")
-    def run(text: pd.Series) -> pd.DataFrame:
-        return _rows(text, lambda t: dict(zip(("compressed", "was_modified", "strategy"), arrays.crush(t, query, bias, rules))), ["compressed", "was_modified", "strategy"])
+    def run(text: pd.Series, query: pd.Series, bias: pd.Series) -> pd.DataFrame:
+        return _with(text, lambda t, q, b: dict(zip(columns, arrays.crush(t, q, b, rules))), columns, query, bias)
 
-    return run.asNondeterministic()(text)
+    return run.asNondeterministic()(text, _query(query), _bias(bias))
 
 
 def table(text: Column, style: str = "csv") -> Column:
@@ -187,14 +207,14 @@ def _array(text: str) -> jsontext.Raw | None:
     return value if isinstance(value, jsontext.Raw) else None
 
 
-def anchor_places(text: Column, most: int = 15, strategy: str = "smart_sample", query: str = "") -> Column:
+def anchor_places(text: Column, most: int = 15, strategy: str = "smart_sample", query: Column | str = "") -> Column:
     """Anchor places of a JSON array; null where it is none."""
 
     @F.pandas_udf("array<int>")
-    def run(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: None if (v := _array(t)) is None else arrays.anchors(v, most, strategy, query), na_action="ignore")
+    def run(text: pd.Series, query: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None or (v := _array(t)) is None else arrays.anchors(v, most, strategy, q) for t, q in zip(text, query)], dtype=object)
 
-    return run.asNondeterministic()(text)
+    return run.asNondeterministic()(text, _query(query))
 
 
 def array_analysis(text: Column) -> Column:

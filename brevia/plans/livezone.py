@@ -207,7 +207,7 @@ def shortened(text: Column, kind: Column, model: Column, store: bool = False) ->
             rows.append((found[1], found[0], before, after, key) if found and after < before else (None, None, before, before, None))
         return pd.DataFrame(rows, columns=["compressed", "strategy", "original_tokens", "compressed_tokens", "key"])
 
-    return run(text, kind, model)
+    return run.asNondeterministic()(text, kind, model)  # so that filters on it are not pushed through detection
 
 
 def manifest(requests: DataFrame, store: bool = False) -> DataFrame:
@@ -224,6 +224,11 @@ def manifest(requests: DataFrame, store: bool = False) -> DataFrame:
     )
 
 
+def payloads(rows: DataFrame) -> DataFrame:
+    """(hash, payload, inserted_at) of the compressed parts of a manifest made with ``store``: what a store's ``put`` takes."""
+    return rows.where("key IS NOT NULL").select(F.col("key").alias("hash"), "payload", F.current_timestamp().alias("inserted_at"))
+
+
 @F.udf(returnType=T.StringType(), useArrow=True)
 def _spliced(body: str, changes: list) -> str:
     if not changes:

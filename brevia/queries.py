@@ -606,6 +606,55 @@ def conversation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select(F.col("conv_id").cast("string").alias("request_id"), F.lit("messages").alias("format"), F.lit(None).cast("string").alias("mode"), F.to_json(F.struct(messages.alias("messages"))).alias("body"))
 
 
+def format_requests(spark: SparkSession, sf_dir: str, form: str) -> DataFrame:
+    """Each conversation as a request body of a format; the assistant's long turns play users and tools."""
+    c = table(spark, sf_dir, "conversations")
+    i = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+    text, said = F.col("text"), F.col("role") == "assistant"
+    if form == "responses":
+        part = F.array(F.struct(F.lit("input_text").alias("type"), text.alias("text")))
+        item = F.struct("turn", F.when(said, "function_call_output").otherwise("message").alias("type"), F.when(said, text).alias("output"), F.when(~said, part).alias("content"))
+    else:
+        role = F.when(said, F.when(F.col("i") % 4 == 1, "tool").otherwise("assistant") if form == "chat" else F.lit("user")).when((F.col("role") == "user") & (F.lit(form) == "messages"), "assistant").otherwise(F.col("role"))
+        item = F.struct("turn", role.alias("role"), text.alias("content"))
+    g = c.withColumn("i", i).groupBy("conv_id").agg(F.array_sort(F.collect_list(item)).alias("t"))
+    items_ = F.transform("t", lambda x: x.dropFields("turn"))
+    return g.select(F.col("conv_id").cast("string").alias("request_id"), F.lit(form).alias("format"), F.lit(None).cast("string").alias("mode"), F.to_json(F.struct(items_.alias("input" if form == "responses" else "messages"))).alias("body"))
+
+
+def _routed(spark: SparkSession, sf_dir: str, form: str) -> DataFrame:
+    return livezone.parts(format_requests(spark, sf_dir, form)).select("request_id", "idx", "action", "reason", F.md5("text").alias("text_md5"))
+
+
+_TURNS_SQL = "t AS (SELECT conv_id::varchar AS request_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::int AS i, role AS said, text, coalesce(octet_length(encode(text)), 0) >= 512 AS long FROM conversations)"
+_PARTS_SQL = "SELECT request_id, idx, CASE WHEN reason IS NULL THEN 'candidate' WHEN idx < 0 THEN 'none' ELSE 'excluded' END AS action, reason, CASE WHEN reason IS NULL THEN md5(text) END AS text_md5 FROM f"
+
+
+@query(f"""WITH {_TURNS_SQL}, m AS (SELECT *, CASE said WHEN 'assistant' THEN 'user' WHEN 'user' THEN 'assistant' ELSE said END AS role FROM t),
+l AS (SELECT *, max(CASE WHEN role = 'user' THEN i END) OVER (PARTITION BY request_id) AS live FROM m),
+f AS (SELECT request_id, i AS idx, text, CASE WHEN i < live THEN 'frozen_by_policy' WHEN i > live THEN 'latest_assistant' WHEN NOT long THEN 'too_small' END AS reason FROM l WHERE i <= live OR role = 'assistant' AND live IS NOT NULL
+UNION ALL SELECT DISTINCT request_id, -1, NULL, 'no_live_user_message' FROM l WHERE live IS NULL) {_PARTS_SQL}""")
+def route_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of bodies in the Messages format and their verdicts."""
+    return _routed(spark, sf_dir, "messages")
+
+
+@query(f"""WITH {_TURNS_SQL}, m AS (SELECT *, CASE WHEN said = 'assistant' AND i % 4 = 1 THEN 'tool' ELSE said END AS role FROM t),
+l AS (SELECT *, max(CASE WHEN role = 'user' THEN i END) OVER (PARTITION BY request_id) AS u, max(CASE WHEN role = 'tool' THEN i END) OVER (PARTITION BY request_id) AS o FROM m),
+f AS (SELECT request_id, i AS idx, text, CASE WHEN role = 'system' THEN 'system_message' WHEN i < least(coalesce(u, o), coalesce(o, u)) THEN 'frozen_by_policy'
+WHEN role = 'assistant' THEN CASE WHEN i > coalesce(u, -1) OR i > coalesce(o, -1) THEN 'latest_assistant' ELSE 'frozen_by_policy' END END AS reason, long AND (role = 'tool' OR i = u) AS open FROM l WHERE coalesce(u, o) IS NOT NULL
+UNION ALL SELECT DISTINCT request_id, -1, NULL, 'no_live_zone_candidates', false FROM l WHERE coalesce(u, o) IS NULL) {_PARTS_SQL} WHERE reason IS NOT NULL OR open""")
+def route_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of bodies in the Chat format and their verdicts."""
+    return _routed(spark, sf_dir, "chat")
+
+
+@query(f"WITH {_TURNS_SQL}, f AS (SELECT request_id, i AS idx, text, CASE WHEN NOT long THEN 'too_small' END AS reason FROM t WHERE long OR said = 'assistant') {_PARTS_SQL}")
+def route_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of bodies in the Responses format and their verdicts."""
+    return _routed(spark, sf_dir, "responses")
+
+
 @query()
 def live_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return livezone.manifest(conversation_requests(spark, sf_dir)).select("request_id", "part", "idx", "action", "reason", "strategy", "original_tokens", "compressed_tokens", "compressed")

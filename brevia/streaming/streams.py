@@ -1,6 +1,6 @@
 """Structured Streaming forms: live level counts, compression of arriving blocks, a keyed store with a time to live, drift.
 
-Every stateful form bounds its state: by a watermark, by a time to live, or by one value per key.
+Every stateful form bounds its state: by a watermark, by a time to live, by a capacity, or by one value per key.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import detect, lines
+from ..sources.store import CAPACITY, TTL_SECONDS
 
 
 def level_windows(rows: DataFrame, time_col: str = "ts", late: str = "10 minutes", length: str = "1 hour") -> DataFrame:
@@ -54,6 +55,44 @@ def store_states(puts: DataFrame, ttl_seconds: int = 300, key: str = "hash") ->
     return puts.groupBy(key).applyInPandasWithState(run, out, "size long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+EVENT = "store string, seq long, op string, hash string, outcome string, payload string, evicted string"
+
+
+def bounded_store(events: DataFrame, capacity: int = CAPACITY, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
+    """What each put and get of a stream of (store, seq, ts, op, hash, payload) did to its store.
+
+    A store (a session, a tenant) is a key of the stream; its events are applied by ``seq`` within a batch, and ``ts``
+    is the only clock, so that a batch that runs again has the same result. Outcomes: ``put``, ``refresh`` (a known key
+    has a new payload and time, but keeps its place), ``hit`` (with the payload), ``miss``, ``expired``; ``evicted`` is
+    the key that a put beyond the capacity pushed out, the one put first. The state of a store is one row of at most
+    ``capacity`` payloads.
+    """
+
+    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = {h: (p, t) for h, p, t in zip(*state.get)} if state.exists else {}  # in order of the first put
+        rows = []
+        for e in pd.concat(list(batches)).sort_values("seq", kind="stable").itertuples():
+            outcome, payload, evicted, now = "miss", None, None, e.ts.value // 1000
+            if e.op == "put":
+                outcome = "refresh" if e.hash in held else "put"
+                if outcome == "put" and len(held) >= capacity:
+                    evicted = next(iter(held))
+                    del held[evicted]
+                held[e.hash] = (e.payload, now)
+            elif e.hash in held:
+                payload, put_at = held[e.hash]
+                outcome = "hit"
+                if now - put_at > ttl_seconds * 1_000_000:
+                    outcome, payload = "expired", None
+                    del held[e.hash]
+            rows.append((k[0], e.seq, e.op, e.hash, outcome, payload, evicted))
+        state.update((list(held), [p for p, _ in held.values()], [t for _, t in held.values()]))
+        yield pd.DataFrame(rows, columns=["store", "seq", "op", "hash", "outcome", "payload", "evicted"])
+
+    taken = events.select("store", "seq", "ts", "op", "hash", "payload")
+    return taken.groupBy("store").applyInPandasWithState(run, EVENT, "hashes array<string>, payloads array<string>, times array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
 def prefix_changes(rows: DataFrame, key: str, text: Column, order: str) -> DataFrame:
     """(key, pos, prefix_hash, previous_hash, prefix_changed) of a stream; the last hash of each key is its state. Positions keep the type, and so the order, of ``order``."""
     hashed = rows.select(F.col(key).cast("string").alias("key"), F.left(F.sha2(text, 256), F.lit(16)).alias("prefix_hash"), F.col(order).alias("pos"))

@@ -2,13 +2,14 @@
 
 import json
 import math
+import re
 import statistics
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from brevia.functions import hashing, importance, sizing
+from brevia.functions import arrays, hashing, hits, importance, jsontext, loglines, sizing
 from brevia.functions import text as X
 from brevia.operators import compress, detect, items, lines, policy, relevance
 from brevia.plans import livezone, pipeline
@@ -133,6 +134,33 @@ def test_compressors_pass_nulls(spark):
     assert rows(tags) == [(None,), ("short",)]
 
 
+def test_every_row_has_its_own_query_and_bias(spark):
+    found = "\n".join(f"a{i % 4}.py:{i}:value number{i}" for i in range(200))
+    array = json.dumps([{"id": 7000 + i, "note": f"plain {i % 5}"} for i in range(120)])
+    rows_ = [(found, array, f"number{n}", b) for n, b in ((33, 1.0), (151, 0.5), (99, None))] + [(found, array, None, 1.5)]
+    df = spark.createDataFrame(rows_, "hits string, items string, q string, b double")
+    q, b = F.col("q"), F.col("b")
+    got = rows(df.select("q", "b", compress.search(F.col("hits"), q, b)["compressed"], compress.crush(F.col("items"), F.concat(F.lit("id "), q), b)["compressed"], compress.logs(F.col("hits"), b)["lines_out"], compress.anchor_places(F.col("items"), 8, query=q)))
+    for q, b, hit, crushed, n, places in got:
+        q, b, whole = q or "", 1.0 if b is None else b, "" if q is None else f"id {q}"
+        assert hit == hits.compress(found, q, b).text and crushed == arrays.crush(array, whole, b)[0] and n == loglines.compress(found, b).lines_out
+        assert list(places) == list(arrays.anchors(jsontext.read(array), 8, "smart_sample", q))
+    one = rows(pipeline.run(df.select(F.col("hits").alias("text"), "q"), query=F.col("q")).select("q", "output"))
+    chain = pipeline.Pipeline.full()
+    assert {q: o for q, o in one} == {r[2]: chain.run(found, "search", r[2] or "").output for r in rows_}
+
+
+def test_payloads_of_shortened_parts_come_back_by_their_marks(spark, tmp_path):
+    body = json.dumps({"messages": [{"role": "user", "content": _log()}]})
+    r = spark.createDataFrame([("r1", "messages", None, body), ("r2", "messages", None, '{"messages": []}')], "request_id string, format string, mode string, body string")
+    m = livezone.manifest(r, store=True)
+    store = S.FolderStore(spark, str(tmp_path / "s"))
+    store.put(livezone.payloads(m))
+    text = json.loads(livezone.outcomes(r, m).where("request_id = 'r1'").first()["body"])["messages"][0]["content"]
+    key = re.search(r"<<ccr:([0-9a-f]{24})>>", text)[1]
+    assert len(text) < len(_log()) and rows(store.get(spark.createDataFrame([(key,)], "hash string")).select("hash", "payload")) == [(key, _log())]
+
+
 def _log(n=80):
     return "\n".join(["ERROR boom"] + [f"INFO line number {i} of the run" for i in range(n)])
 

@@ -1,5 +1,6 @@
 """Streaming forms over files, each run to its end."""
 
+import random
 import time
 from datetime import datetime, timedelta
 
@@ -64,6 +65,33 @@ def test_store_states(spark, tmp_path):
     assert sorted(map(tuple, spark.table("states").collect())) == [("h1", "put", 2), ("h2", "put", 1)]
 
 
+def test_bounded_store_equals_a_dictionary(spark, tmp_path):
+    rng, schema = random.Random(5), "store string, seq long, ts timestamp, op string, hash string, payload string"
+    events = [(rng.choice("ab"), i, T0 + timedelta(seconds=20 * i), rng.choice(["put", "get"]), rng.choice("uvwxyz"), f"p{i}") for i in range(300)]
+    path, _ = files(spark, tmp_path, events[:150], schema)
+    time.sleep(1.1)  # files are read in the order of their times
+    files(spark, tmp_path, events[150:], schema)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    drained(S.bounded_store(stream, 3, 200).writeStream.format("memory").queryName("bounded").outputMode("append"))
+    held, want = {"a": {}, "b": {}}, []
+    for s, i, ts, op, h, p in events:
+        d, out, evicted = held[s], ("miss", None), None
+        if op == "put":
+            out = ("refresh" if h in d else "put", None)
+            if h not in d and len(d) == 3:
+                evicted = list(d)[0]
+                del d[evicted]
+            d[h] = (p, ts)
+        elif h in d and ts - d[h][1] > timedelta(seconds=200):
+            out = ("expired", None)
+            del d[h]
+        elif h in d:
+            out = ("hit", d[h][0])
+        want.append((s, i, op, h, *out, evicted))
+    got = sorted(map(tuple, spark.table("bounded").collect()), key=lambda r: r[1])
+    assert got == want and {r[4] for r in got} == {"put", "refresh", "hit", "miss", "expired"}
+
+
 def test_classified_stream(spark, tmp_path):
     _, stream = files(spark, tmp_path, [(1, "[1,2]"), (2, "prose")], "id int, text string")
     drained(S.classified(stream).writeStream.format("memory").queryName("kinds").outputMode("append"))
