@@ -307,6 +307,28 @@ def test_chunked_ids_equal_the_library():
         assert n.tolist() == [len(m) for m in model] and ids.tolist() == [x for m in model for x in m]
 
 
+def test_word_pieces_are_encoded_once_and_equal_the_library():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    enc = tokencache.TextEncoder(path, 7, False)
+
+    def same(texts):
+        data, off = K.text_buffers(pa.array(texts, pa.string()))
+        ids, n = enc.encode(data, off)
+        model = [e.ids + [7] for e in tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        return n.tolist() == [len(m) for m in model] and ids.tolist() == [x for m in model for x in m]
+
+    # case, signs and digits beside a word give no new pieces: the end id, word, comma, full stops, bracket, 1, 2
+    assert same(["word Word, WORD... 12 word2 (21", None, "wORD1,"]) and enc.chunks.index.n <= 7
+    # every letter that is cut beside, and its neighbours that are not; letters that change or grow in lower case
+    assert same([a + chr(c) + b for c in (*range(1, 0x250), 0x345, 0x3A3, 0x212A, 0xFB01) for a in ("", "a", "J", "1", ",") for b in ("", "Z", "7", ".", "'s", "\u030c", "\u0130", "\u00d7", " ")])
+    rng = random.Random(8)
+    signs = [*" \n\x1c\x85\xa0ab'sJKE\u00e9\u0301\u030c\u00df\u0130\u00d7\u00c0\u03c3\u03a319.\u2014\u4e2d\x00<|>_#", "<|endoftext|>", "<|ENDOFTEXT|>", "'LL", "don't"]
+    assert all(same(["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(500)] + ["", "a" * 5000]) for _ in range(4))
+
+
 def test_transducer_counts_equal_the_library():
     import sentencepiece
 
